@@ -5,15 +5,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import packing
+from tarnwick.llm import packing, secrets, simhash, toxicity
 from tarnwick.llm.common import written
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.learn_from_labels(docs, labels))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, the one of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret."""
+    return secrets.redact(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [("toxicity", not_toxic), ("simhash", one_of_each_group), ("secrets", without_secrets), ("packing", packed)]
 #: Toxicity, fingerprints and scans can't be said in SQL; tests hold the stages against plain versions of them.
 ORACLE_SQL = None
 
