@@ -11,36 +11,81 @@ from tarnwick.llm.common import Memo, single_spaced
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+#: Signs that are a piece of their own after a word, in either kind of pattern.
+SIGNS = frozenset(".,;:!?")
+
+
+def _plain(word: str) -> bool:
+    """Whether it's letters only, in lower case too."""
+    return word.isalpha() and "\u0130" not in word
+
+
 class LibraryEncoder:
     """Encodes whole texts as the library does (special tokens' strings are ordinary text, none is added).
 
     ``spaces``: whether the tokenizer keeps white space, as byte-level ones do, or drops it. In the first case a text
     is cut before single spaces, which such patterns never cross (other texts go to the library whole); in the second
-    at any space. Every stretch is encoded by the library itself, in batches.
+    at white space. The library encodes every stretch once: words of letters many at a time, told apart by the tokens
+    that begin (or end) words, a sign after a word by itself, others one by one.
     """
 
-    def __init__(self, path: str, spaces: bool, bound: int = 300_000):
+    def __init__(self, path: str, spaces: bool, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.spaces = spaces
-        self.bare = Memo(lambda unit: self._encode([unit])[0], bound // 4)
-        self.spaced = Memo(lambda unit: self._encode([" " + unit if spaces else unit])[0], bound)
+        self.spaces, self.lead = spaces, " " if spaces else ""
+        n = self.library.get_vocab_size()
+        strings = [self.library.id_to_token(i) or "" for i in range(n)]
+        self.edge = [s.startswith("\u0120") if spaces else s.endswith("</w>") for s in strings]
+        self.bare = Memo(lambda unit: self._encode([unit])[0], bound // 10)
+        self.spaced = Memo(lambda unit: self._encode([self.lead + unit])[0], bound)
 
     def _encode(self, units: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only, each after a space."""
+        (joined,) = self.library.encode_batch_fast([self.lead + " ".join(words)], add_special_tokens=False)
+        ids = array("I", joined.ids)
+        edges = [i for i, t in enumerate(ids) if self.edge[t]]
+        if len(edges) != len(words):
+            return self._encode([self.lead + w for w in words])
+        starts = edges if self.spaces else [0, *(e + 1 for e in edges[:-1])]
+        return [ids[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(ids)])]
+
+    def _learn(self, units: list[str]) -> None:
+        keep, known = self.spaced.keep, self.spaced
+        same: dict[str, str] = {}  # units that the tokenizer doesn't tell from others
+        if not self.spaces:
+            same = {u: low for u in units if u.isascii() and (low := u.lower()) != u}
+        signed = [u for u in units if len(u) > 1 and u[-1] in SIGNS and _plain(u[:-1])]
+        words = {w for w in (same.get(u, u) for u in units) if _plain(w)}
+        words.update(w for w in (same.get(u, u)[:-1] for u in signed))
+        if words := known.lacking(words):
+            for w, ids in zip(words, self._words(words)):
+                keep(w, ids)
+        for u in units:
+            if _plain(u):
+                if u in same:
+                    keep(u, known[same[u]])
+            elif len(u) > 1 and u[-1] in SIGNS and _plain(u[:-1]):
+                keep(u, known[same.get(u, u)[:-1]] + self.bare[u[-1]])
+        if rest := known.lacking(units):
+            for u, ids in zip(rest, self._encode([self.lead + u for u in rest])):
+                keep(u, ids)
+
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers, one after the other."""
-        if self.spaces and not single_spaced(text):
-            return self._encode([text])[0]
-        units = text.split(" ")
-        head = [] if not self.spaces else [self.bare[units[0]]]
-        units = units[1:] if self.spaces else units
-        new = self.spaced.lacking(units)
-        for unit, ids in zip(new, self._encode([" " + u for u in new] if self.spaces else new) if new else ()):
-            self.spaced.keep(unit, ids)
+        if self.spaces:
+            if not single_spaced(text):
+                return self._encode([text])[0]
+            first, *units = text.split(" ")
+            head = [self.bare[first]]
+        else:  # some controls are white space to Python only
+            units, head = text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split(), []
+        if new := self.spaced.lacking(units):
+            self._learn(new)
         return b"".join([*head, *map(self.spaced.__getitem__, units)])
 
 

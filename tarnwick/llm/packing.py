@@ -116,17 +116,18 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], width: int) ->
         if sums[i] > largest and (a != b or counts[a] > 1):
             found[a, b] = room - a - b
     if min(found.values()):
-        for a in sizes[max(0, k - 2) : k]:
-            counts[a] -= 1
-            rest = [s for s in sizes[: bisect.bisect_right(sizes, min(room - a, a))] if counts[s]]
-            for more in fillings(room - a, rest, counts, width) if rest else ():
-                f = (a, *more)
-                found[f] = room - sum(f)
-            counts[a] += 1
+        counts[largest] -= 1
+        rest = sizes[: bisect.bisect_right(sizes, room - largest)]
+        if rest and rest[-1] == largest and not counts[largest]:
+            rest.pop()
+        for more in fillings(room - largest, rest, counts, width) if rest else ():
+            f = (largest, *more)
+            found[f] = room - sum(f)
+        counts[largest] += 1
     return sorted(found, key=lambda f: (found[f], len(f)))[:width]
 
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 6_000, width: int = 4) -> list[tuple[Filling, int]]:
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000, width: int = 4) -> list[tuple[Filling, int]]:
     """Fillings with the number of their bins. ``nodes``: how many fillings the search may try beyond the incumbent;
     ``width``: how many it tries around one largest length."""
     counts = {s: n for s, n in counts.items() if n}
@@ -228,7 +229,7 @@ def places(plan: list[tuple[Filling, int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(rows, np.int64).reshape(-1, 5).T)
 
 
-def pack(pieces: DataFrame, capacity: int, nodes: int = 6_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, nodes: int = 4_000) -> DataFrame:
     """Adds sequence_id and offset to written token pieces; takes their part and nth."""
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = by_part.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
@@ -248,6 +249,6 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 6_000) -> DataFrame:
     return ranked.mapInArrow(each, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 6_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 4_000) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     return pack(written(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, nodes)
