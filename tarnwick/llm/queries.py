@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe, packing, secrets, simhash, token_files, toxicity
+from tarnwick.llm import bpe, context_trees, edit_embedding, licenses, packing, range_join, secrets, simhash, token_files, toxicity
 from tarnwick.llm.common import shared_path
 
 
@@ -17,12 +18,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.with_checksums(token_files.read_tokens(spark, path, "n_tokens", "ids"))
 
 
+def op4_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return context_trees.score(documents(spark, sf_dir), ~held_out)
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -31,14 +41,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.compare_with_edits(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.learn_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_files, op5_secret_scans, op6_best_fit_packing, op8_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scans, op3_token_files, op4_context_trees, op5_secret_scans, op6_best_fit_packing, op7_embedding_range_join, op8_simhash, op9_edit_fingerprints, op10_toxicity)}
 ORACLES: dict[str, str] = {}
