@@ -1 +1,46 @@
+"""Sources: the driver's tables, and fact tables made of them."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def service_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a measurement period: its mean discount, in basis points, is missing from full availability."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.col("l_discount") * 100).cast("bigint").alias("d"))
+    lost = lines.groupBy("l_orderkey").agg(F.expr("sum(d) * 100 div count(*)").alias("bp"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    facts = orders.join(lost, orders.o_orderkey == lost.l_orderkey)
+    return facts.select(
+        "o_orderkey",
+        ((10000 - F.col("bp")) / 100).cast("decimal(9,2)").alias("availability"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("charge"),
+        (F.col("o_orderkey") % 60).cast("int").alias("arrears_days"),
+        (F.col("o_orderkey") % 3 != 0).alias("undisputed"),
+    )
+
+
+def hour_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item as an hour of work."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.col("l_quantity").cast("int").alias("ordinal"),
+        (F.col("l_partkey") % 8 + 1).cast("int").alias("grade"),
+        (F.col("l_suppkey") % 11 == 0).alias("holiday"),
+        (F.col("l_returnflag") == "R").alias("critical"),
+        (F.col("l_linestatus") == "O").alias("night"),
+        (F.col("l_partkey") % 5 == 0).alias("allowance"),
+    )
+
+
+def claim_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item as a claim: ordered is incurred, shipped is submitted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("incurred"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("submitted"), (F.col("l_returnflag") == "R").alias("certified"))
+    return li.join(orders, li.l_orderkey == orders.o_orderkey).drop("o_orderkey")
