@@ -49,8 +49,8 @@ class Chain:
     models: list[tuple[float, np.ndarray, np.ndarray]]
 
     def vector(self, text: str, memo: Memo) -> tuple[list[int], list[float]]:
-        counts = Counter(i for found in filter(None, map(memo.__getitem__, text.split())) for i in found)
-        return list(counts), np.log1p(np.fromiter(counts.values(), float, len(counts))).tolist()
+        index = sorted({i for found in filter(None, map(memo.__getitem__, text.split())) for i in found})
+        return index, [1.0] * len(index)
 
     def memo(self) -> Memo:
         look = self.vocabulary.get
@@ -72,12 +72,13 @@ def fit_linear(row: np.ndarray, col: np.ndarray, val: np.ndarray, dense: np.ndar
     """Logistic regression on sparse features and dense ones, by Adam on whole batches."""
     n, k = len(y), dense.shape[1]
     w, m, v = (np.zeros(n_features + k + 1) for _ in range(3))
+    weight = np.where(y > 0.5, np.sqrt(max(1.0, (n - y.sum()) / max(1.0, y.sum()))), 1.0)  # rare marks count for more
     if n:
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         w[-1] = np.log(p / (1 - p))
     for t in range(1, steps + 1 if n else 1):
         z = np.bincount(row, val * w[col], n) + dense @ w[n_features:-1] + w[-1]
-        e = (_sigmoid(z) - y) / n
+        e = (_sigmoid(z) - y) * weight / n
         g = np.concatenate([np.bincount(col, val * e[row], n_features), dense.T @ e, [e.sum()]])
         g[:-1] += l2 / n * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -130,6 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     counts = chosen.mapInArrow(count, "feature string, " + ", ".join(f"{y} int" for y in ys) + ", n long")
     by_side = counts.groupBy("feature").agg(*(F.sum(F.when(F.col(y) == v, F.col("n")).otherwise(0)).alias(f"{y}_{v}") for y in ys for v in (0, 1)))
+    by_side = written(by_side, "features")
     whole = by_side.where("feature = ''").first()
     vocabulary: dict[str, int] = {}
     for y in ys if whole else ():
