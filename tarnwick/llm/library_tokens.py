@@ -29,7 +29,7 @@ class LibraryEncoder:
     that begin (or end) words, a sign after a word by itself, others one by one.
     """
 
-    def __init__(self, path: str, spaces: bool, bound: int = 500_000):
+    def __init__(self, path: str, spaces: bool, bound: int = 420_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -38,7 +38,8 @@ class LibraryEncoder:
         n = self.library.get_vocab_size()
         strings = [self.library.id_to_token(i) or "" for i in range(n)]
         self.edge = [s.startswith("\u0120") if spaces else s.endswith("</w>") for s in strings]
-        self.bare = Memo(lambda unit: self._encode([unit])[0], bound // 10)
+        self.line_end = self.library.token_to_id("\u010a")
+        self.bare = Memo(lambda unit: self._encode([unit])[0], bound // 5)
         self.spaced = Memo(lambda unit: self._encode([self.lead + unit])[0], bound)
 
     def _encode(self, units: list[str]) -> list[bytes]:
@@ -54,8 +55,33 @@ class LibraryEncoder:
         starts = edges if self.spaces else [0, *(e + 1 for e in edges[:-1])]
         return [ids[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(ids)])]
 
+    def _line_starts(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only, each at the start of a text or line."""
+        (joined,) = self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
+        ids = array("I", joined.ids)
+        ends = [i for i, t in enumerate(ids) if t == self.line_end]
+        if len(ends) != len(words) - 1:
+            return self._encode(words)
+        return [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+
+    def _learn_lines(self, units: list[str]) -> list[str]:
+        """Learns units of a word, a line's end and a word, where white space counts; returns what else to learn."""
+        halves = {u: (a, b) for u in units if (a := u.partition("\n"))[1] and (b := a[2]) and _plain(b) and (_plain(a := a[0]) or a[-1:] in SIGNS and _plain(a[:-1]))}
+        if not halves:
+            return units
+        if starts := self.bare.lacking(b for _, b in halves.values()):
+            for w, ids in zip(starts, self._line_starts(starts)):
+                self.bare.keep(w, ids)
+        if ends := self.spaced.lacking(a for a, _ in halves.values()):
+            self._learn(ends)
+        for u, (a, b) in halves.items():
+            self.spaced.keep(u, self.spaced[a] + self.bare["\n"] + self.bare[b])
+        return [u for u in units if u not in halves]
+
     def _learn(self, units: list[str]) -> None:
         keep, known = self.spaced.keep, self.spaced
+        if self.spaces:
+            units = self._learn_lines(units)
         same: dict[str, str] = {}  # units that the tokenizer doesn't tell from others
         if not self.spaces:
             same = {u: low for u in units if u.isascii() and (low := u.lower()) != u}
