@@ -29,7 +29,7 @@ class LibraryEncoder:
     that begin (or end) words, a sign after a word by itself, others one by one.
     """
 
-    def __init__(self, path: str, spaces: bool, bound: int = 500_000):
+    def __init__(self, path: str, spaces: bool, bound: int = 450_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -84,9 +84,15 @@ class LibraryEncoder:
             head = [self.bare[first]]
         else:  # some controls are white space to Python only
             units, head = text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split(), []
-        if new := self.spaced.lacking(units):
-            self._learn(new)
-        return b"".join([*head, *map(self.spaced.__getitem__, units)])
+        spaced = self.spaced
+        got = list(map(spaced.get, units))
+        if None in got:
+            gaps = [i for i, ids in enumerate(got) if ids is None]
+            if new := spaced.lacking(units[i] for i in gaps):
+                self._learn(new)
+            for i in gaps:
+                got[i] = spaced[units[i]]
+        return b"".join([*head, *got])
 
 
 @functools.lru_cache(2)
