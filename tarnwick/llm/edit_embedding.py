@@ -118,7 +118,7 @@ def follow_each_other(docs: DataFrame) -> DataFrame:
     entry = lambda part, ahead: F.struct(part.cast("int").alias("part"), F.lit(ahead).alias("ahead"))
     docs = docs.withColumn("e", F.explode(F.filter(F.array(entry(F.col("own"), 0), entry(earlier, 1), entry(wraps, 1)), lambda e: e["part"].isNotNull())))
     docs = docs.select("e.part", "e.ahead", "place", "h", "doc_id", "text")
-    return docs.repartition(n, "part").sortWithinPartitions("part", "ahead", "place", "h")
+    return docs.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "ahead", "place", "h")
 
 
 def compare_with_edits(docs: DataFrame, seed: int = 7) -> DataFrame:
