@@ -3,10 +3,12 @@
 Each byte is eight binary decisions, and each decision has a tree of contexts: the 0 to ``depth`` bytes before it. A
 node holds a Krichevsky-Trofimov estimate of its bits, and its weight against the nodes below it is what both would
 have given to the training bits. Counts of a byte after ``depth`` bytes are all that training needs; Spark gathers
-them over the corpus. Subtrees below each last byte are then mixed apart from each other, and the roots, of which
-there are 255, on the driver. The result is a table: the log probability of each byte in each context that occurs.
+them over the corpus. Subtrees below each pair of last bytes are then mixed apart from each other, one after the other
+in a task, which holds no more than one of them beyond a fixed number of rows; the nodes above them, of which there
+are 65,535 at most, are mixed on the driver. The result is a table: the log probability of each byte in each context
+that occurs.
 
-A base score by word counts goes with it. The most frequent entries of either table, a fixed number, go to each
+A base score by word counts goes with it. The most frequent entries of either table, up to a fixed number, go to each
 executor; all others are joined by a shuffle, so that nothing is left out at any size.
 
 Null and empty texts are an end alone. Rows are kept as they are, repeated ones too; null ids train; further columns
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.common import raw_texts, slices, text_of, written
+from tarnwick.llm.common import partitions, raw_texts, slices, text_of, written
 
 #: Entries that each executor gets, whatever the size of the corpus: some 20 MB and 10 MB.
 HEAD_WINDOWS, HEAD_WORDS = 1 << 20, 200_000
@@ -31,6 +33,8 @@ HEAD_WINDOWS, HEAD_WORDS = 1 << 20, 200_000
 END_WORD, END = b"\n", 0xFF
 #: Bytes whose windows a task counts at a time, and words it holds.
 CHUNK, WORDS = 8 << 20, 300_000
+#: Windows that a task mixes at a time, other than those of one pair of last bytes.
+GROUPED = 1 << 19
 
 
 def windows_of(data: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +109,8 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def bit_levels(window: np.ndarray, n: np.ndarray, depth: int):
     """For each of the eight decisions, the trees' nodes from the leaves up: yields the decision's bits, the leaf of
-    each window and, by depth from ``depth`` to 1, (keys, n0, n1, log weighted probability, own share, parent)."""
+    each window and, by depth from ``depth`` to 2, (keys, n0, n1, log weighted probability, own share), and the parent
+    of each node but the last ones."""
     byte, rest = window & 255, window >> 8
     turned = np.zeros_like(rest)  # the last byte first
     for k in range(depth):
@@ -118,7 +123,7 @@ def bit_levels(window: np.ndarray, n: np.ndarray, depth: int):
         log_w = log_kt(n0, n1)
         levels = [(keys, n0, n1, log_w, np.ones(len(keys)))]
         parents = []
-        for _ in range(depth - 1):
+        for _ in range(depth - 2):
             up, parent = np.unique(keys >> 16 << 8 | keys & 255, return_inverse=True)
             n0, n1, below = (np.bincount(parent, x, len(up)) for x in (n0, n1, log_w))
             own = log_kt(n0, n1)
@@ -129,47 +134,87 @@ def bit_levels(window: np.ndarray, n: np.ndarray, depth: int):
         yield bit, leaf, levels, parents
 
 
+def upper_nodes(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes after one byte (key: that byte and the node) and what lies below them: by key, the probability
+    that they and the root give together, and the weight that is left for what lies below."""
+    own = log_kt(n0, n1)
+    log_w = np.logaddexp(own, below) - np.log(2)
+    share, node = np.exp(own - log_w - np.log(2)), key & 255
+    m0, m1, under = (np.bincount(node, x, 256) for x in (n0, n1, log_w))
+    top = log_kt(m0, m1)
+    top_share = np.exp(top - np.logaddexp(top, under))[node]
+    given, left = np.full(1 << 16, 0.5), np.zeros(1 << 16)
+    given[key] = top_share * ((m1 + 0.5) / (m0 + m1 + 1))[node] + (1 - top_share) * share * (n1 + 0.5) / (n0 + n1 + 1)
+    left[key] = (1 - top_share) * (1 - share)
+    return given, left
+
+
+def whole_groups(batches, least: int = GROUPED):
+    """Of rows in order of group: arrays of window and n, each with all rows of the groups it has. A group of two last
+    bytes has a window for each byte and each context before them, so its size has a bound whatever the corpus."""
+    held, size = [], 0
+    for rows in batches:
+        if rows.num_rows:
+            held.append(tuple(rows.column(c).to_numpy() for c in ("last", "window", "n")))
+            size += rows.num_rows
+            if size >= least and held[0][0][0] != held[-1][0][-1]:
+                last, window, n = map(np.concatenate, zip(*held))
+                end = int(np.searchsorted(last, last[-1]))
+                yield window[:end], n[:end].astype(float)
+                held, size = [(last[end:], window[end:], n[end:])], size - end
+    if held:
+        _, window, n = map(np.concatenate, zip(*held))
+        yield window, n.astype(float)
+
+
 def mixed(counts: DataFrame, depth: int) -> DataFrame:
     """window, n and log_p: the base-10 logarithm of the last byte's probability after the others."""
-    by_last = counts.where("window >= 0").select("window", "n", F.expr("shiftright(window, 8) & 255").alias("last")).repartition("last")
-
-    def whole(batches):
-        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        return (rows.column("window").to_numpy(), rows.column("n").to_numpy().astype(float)) if rows is not None and rows.num_rows else None
+    spark = counts.sparkSession
+    by_last = counts.where("window >= 0").select("window", "n", F.expr("shiftright(window, 8) & 65535").alias("last"))
+    by_last = by_last.repartition(partitions(spark), "last").sortWithinPartitions("last")
 
     def tops(batches):
-        if (got := whole(batches)) is not None:
+        for got in whole_groups(batches):
             for _, _, levels, _ in bit_levels(*got, depth):
                 keys, n0, n1, log_w, _ = levels[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys & 255), pa.array(n0), pa.array(n1), pa.array(log_w)], names=["node", "n0", "n1", "log_w"])
+                up, parent = np.unique(keys >> 16 << 8 | keys & 255, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(up), *(pa.array(np.bincount(parent, x, len(up))) for x in (n0, n1, log_w))], names=["node", "n0", "n1", "log_w"])
 
-    roots = by_last.mapInArrow(tops, "node long, n0 double, n1 double, log_w double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log_w"))).collect()
-    share, root_p = np.full(256, 0.5), np.full(256, 0.5)
-    for r in roots:  # 255 at most
-        own = log_kt(np.array([r["n0"]]), np.array([r["n1"]]))[0]
-        share[r["node"]] = np.exp(own - np.logaddexp(own, r["log_w"]))
-        root_p[r["node"]] = (r["n1"] + 0.5) / (r["n0"] + r["n1"] + 1)
+    top = by_last.mapInArrow(tops, "node long, n0 double, n1 double, log_w double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log_w"))).toArrow()
+    sent = spark.sparkContext.broadcast(upper_nodes(*(c.to_numpy() for c in top.columns)))  # 2^16 numbers each
 
     def evaluate(batches):
-        if (got := whole(batches)) is None:
-            return
-        window, n = got
-        log_p = np.zeros(len(window))
-        for bit, leaf, levels, parents in bit_levels(window, n, depth):
-            keys, n0, n1, _, _ = levels[0]
-            p, at = (n1 + 0.5) / (n0 + n1 + 1), np.arange(len(keys))
-            for (_, m0, m1, _, own), parent in zip(levels[1:], parents):
-                at = parent[at]
-                p = own[at] * ((m1 + 0.5) / (m0 + m1 + 1))[at] + (1 - own[at]) * p
-            node = keys & 255
-            p = share[node] * root_p[node] + (1 - share[node]) * p
-            log_p += np.log10(np.where(bit == 1, p[leaf], 1 - p[leaf]))
-        for k in range(0, len(window), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(window[k : k + 50_000]), pa.array(n[k : k + 50_000].astype(np.int64)), pa.array(log_p[k : k + 50_000])], names=["window", "n", "log_p"])
+        given, left = sent.value
+        for window, n in whole_groups(batches):
+            log_p = np.zeros(len(window))
+            for bit, leaf, levels, parents in bit_levels(window, n, depth):
+                keys, n0, n1, _, _ = levels[0]
+                p, at = (n1 + 0.5) / (n0 + n1 + 1), np.arange(len(keys))
+                for (_, m0, m1, _, own), parent in zip(levels[1:], parents):
+                    at = parent[at]
+                    p = own[at] * ((m1 + 0.5) / (m0 + m1 + 1))[at] + (1 - own[at]) * p
+                up = keys >> 8 * depth << 8 | keys & 255
+                p = given[up] + left[up] * p
+                log_p += np.log10(np.where(bit == 1, p[leaf], 1 - p[leaf]))
+            for k in range(0, len(window), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(window[k : k + 50_000]), pa.array(n[k : k + 50_000].astype(np.int64)), pa.array(log_p[k : k + 50_000])], names=["window", "n", "log_p"])
 
     return by_last.mapInArrow(evaluate, "window long, n long, log_p double")
 
 
+def most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest n, at most so many: those of the sixteenths of a power of two that fit as a whole. A
+    histogram of about a thousand rows finds them, without an order of all rows."""
+    level = F.when(F.col("n") > 0, F.floor(F.log2("n") * 16)).otherwise(-1)
+    at, seen = None, 0
+    for r in rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        seen += r["count"]
+        if seen > most:
+            break
+        at = r["level"]
+    return rows.where(level >= at if at is not None else F.lit(False))
+
+
 class Slots:
     """Values by key, looked up for whole arrays: a table of slots, and a sorted one for keys that find theirs taken."""
 
@@ -215,7 +260,9 @@ def _table(broadcast) -> tuple[Slots, dict]:
 
 def score(docs: DataFrame, trains: Column, depth: int = 4, head_windows: int = HEAD_WINDOWS, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; ``trains`` says which of
-    them train, by doc_id."""
+    them train, by doc_id. ``depth`` is 2 to 6."""
+    if not 2 <= depth <= 6:
+        raise ValueError("contexts have two to six bytes")
     spark = docs.sparkSession
     trains = F.coalesce(trains, F.lit(True))
     counts = written(counted(docs, trains, depth), "counts")
@@ -224,8 +271,8 @@ def score(docs: DataFrame, trains: Column, depth: int = 4, head_windows: int = H
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, scale = total["n"], float(np.log10(total["n"] + 0.5 * (total["v"] + 1)))
     log_half = float(np.log10(0.5))
-    frequent = model.orderBy(F.desc("n"), "window").limit(head_windows).select("window", "log_p").toArrow()
-    common = words.orderBy(F.desc("n"), "word").limit(head_words).select("word", F.log10(F.col("n") + 0.5).alias("log_c")).toArrow()
+    frequent = most_frequent(model, head_windows).select("window", "log_p").toArrow()
+    common = most_frequent(words, head_words).select("word", F.log10(F.col("n") + 0.5).alias("log_c")).toArrow()
     sent = spark.sparkContext.broadcast((frequent.column("window").to_numpy(), frequent.column("log_p").to_numpy(), common.column("word").to_pylist(), common.column("log_c").to_pylist()))
     rows = text_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", (~trains).alias("held_out"), "text")
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "window", "times"]
