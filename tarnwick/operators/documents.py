@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Signs that a rule can be computed, with their weights, and words that need a judgement.
 SIGNALS = (
@@ -60,3 +64,79 @@ def plan_scan(state: DataFrame, seen: DataFrame, first: bool = False) -> DataFra
         .otherwise(F.col("status"))
     )
     return s.join(n, "key", "full").select("key", F.coalesce("has", "had").alias("fingerprint"), status.alias("status"))
+
+
+#: Elements that begin a block, those whose text is dropped, and those that are page furniture.
+BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote", "pre", "section", "article", "td", "th", "br", "title"}
+DROPPED = {"script", "style", "noscript", "template"}
+FURNITURE = {"nav", "header", "footer", "aside"}
+
+
+class _Blocks(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.tag, self.words, self.dropped, self.furniture = [], "", [], 0, 0
+
+    def flush(self, tag):
+        if text := " ".join("".join(self.words).split()):
+            self.out.append((self.tag, text, self.furniture > 0))
+        self.words, self.tag = [], tag
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS or tag in FURNITURE:
+            self.flush(tag)
+        self.dropped += tag in DROPPED
+        self.furniture += tag in FURNITURE
+
+    def handle_endtag(self, tag):
+        if tag in BLOCKS or tag in FURNITURE:
+            self.flush("")
+        if tag in DROPPED and self.dropped:
+            self.dropped -= 1
+        if tag in FURNITURE and self.furniture:
+            self.furniture -= 1
+
+    def handle_data(self, data):
+        if not self.dropped:
+            self.words.append(data)
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, block (from 0), tag, text and furniture (inside navigation, header, footer or aside) of each page's
+    blocks of text; white space is collapsed. Null pages have none."""
+
+    def each(batches):
+        for rows in batches:
+            found = []
+            for page_id, html in zip(rows.column("page_id").to_pylist(), rows.column("html").to_pylist()):
+                parser = _Blocks()
+                parser.feed(html or "")
+                parser.close()
+                parser.flush("")
+                found += [(page_id, i, *b) for i, b in enumerate(parser.out)]
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["page_id", "block", "tag", "text", "furniture"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(each, "page_id long, block int, tag string, text string, furniture boolean")
+
+
+def clauses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """section, section_title, clause, body and clause_hash of Markdown documents whose sections begin ``## C-4 Title``
+    and whose clauses begin ``**C-4.2**`` or ``C-4.2 ``: lines carry the last section and clause above them. Lines
+    before the first clause of a section belong to none. A document's lines are ordered among themselves only."""
+    lines = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("at", "line"))
+    heading = r"^#{1,3}\s+(?:Section\s+)?([A-Z]+-\d+)\.?\s+(.*)$"
+    begins = r"^\**([A-Z]+-\d+\.\d+)\**\.?\s+(.*)$"
+    got = lambda pattern, n: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, n))
+    marked = lines.withColumns({"s": got(heading, 1), "t": got(heading, 2), "c": got(begins, 1)})
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    spread = marked.select(
+        key, "at",
+        F.last("s", True).over(w).alias("section"),
+        F.last("t", True).over(w).alias("section_title"),
+        F.last(F.when(F.col("s").isNotNull(), "").otherwise(F.col("c")), True).over(w).alias("clause"),
+        F.when(F.col("c").isNotNull(), got(begins, 2)).otherwise(F.col("line")).alias("line"),
+    )
+    body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n"))
+    out = spread.where("clause != ''").groupBy(key, "section", "section_title", "clause").agg(body.alias("body"))
+    return out.withColumn("clause_hash", content_hash(F.col("body")))

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions import lists, scalars
 from tarnwick.operators import documents, retrieval, surface
-from tarnwick.plans import library
+from tarnwick.plans import library, obligation_queries  # noqa: F401 (registers its queries)
+from tarnwick.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tarnwick.plans.rules import apply
 from tarnwick.sources import claim_facts, hour_facts, service_facts, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "service_credit"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 SERVICE = """
 facts as (
   select o_orderkey, cast((10000 - bp) / 100.0 as decimal(9,2)) availability, cast(o_totalprice as decimal(18,2)) charge,
