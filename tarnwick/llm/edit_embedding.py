@@ -173,15 +173,59 @@ def print_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     return docs.mapInArrow(each, T.StructType([docs.schema["doc_id"], T.StructField("fingerprint", T.StringType())]))
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, band: int = 8, seed: int = 7) -> DataFrame:
-    """a, b and likeness: documents of equal digits in some band, each with the smallest id of the band's bucket, if
-    their likeness is ``least`` or more. Copies count once; a bucket gives as many pairs as it has members less one."""
+def forest(prints: list[str], least: float) -> list[tuple[int, int, float]]:
+    """Of fingerprints: pairs of places, with their likeness, that link all that is linked by pairs of ``least`` or more."""
+    n = max(map(len, prints))
+    digits = np.stack([np.frombuffer(p.ljust(n, "0").encode(), np.uint8) for p in prints])
+    weights, used, root, out = _weights(24)[:n], digits != 48, np.arange(len(prints)), []
+    for r in range(len(prints) - 1):
+        rest = np.flatnonzero(root[r + 1 :] != root[r]) + r + 1
+        same = ((digits[rest] == digits[r]) & used[r]) @ weights
+        near = same / ((used[rest] | used[r]) @ weights)
+        for k in np.flatnonzero(near >= least).tolist():
+            if root[rest[k]] != root[r]:
+                root[root == root[rest[k]]] = root[r]
+                out.append((r, int(rest[k]), float(near[k])))
+    return out
+
+
+def near_pairs(docs: DataFrame, least: float = 0.8, band: int = 8, seed: int = 7, chunk: int = 512) -> DataFrame:
+    """a, b and likeness: of the documents with equal digits in some band, pairs of likeness ``least`` or more that
+    link all such pairs (a spanning forest of each bucket, not every pair of it).
+
+    Copies count once, by their smallest id. All members of a bucket are compared with each other; buckets of more than
+    ``chunk`` are dealt out by pairs of chunks. Documents that share no band aren't compared.
+    """
     rows = written(print_documents(docs, seed).where("doc_id is not null and fingerprint != ''"), "prints")
     one = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     bands = F.transform(F.sequence(F.lit(0), F.floor((F.length("fingerprint") - 1) / band).cast("int")), lambda i: F.struct(i.alias("i"), F.substring(F.col("fingerprint"), i * band + 1, F.lit(band)).alias("digits")))
     keyed = one.select("doc_id", "fingerprint", F.explode(bands).alias("band")).select("doc_id", "fingerprint", "band.i", "band.digits").where(F.length("digits") == band)
-    heads = keyed.groupBy("i", "digits").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(heads, ["i", "digits"]).where("head.doc_id != doc_id")
-    pairs = pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
-    near = F.pandas_udf(lambda x, y: x.combine(y, likeness), "double")
-    return pairs.select("a", "b", near("x", "y").alias("likeness")).where(F.col("likeness") >= least)
+    sizes = keyed.groupBy("i", "digits").agg(F.count("*").alias("n")).where("n > 1").select("i", "digits", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    dealt = keyed.join(sizes, ["i", "digits"]).withColumn("own", F.pmod(F.xxhash64("fingerprint"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    group = ["i", "digits", "p", "q"]
+    dealt = dealt.select("i", "digits", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "fingerprint")
+
+    def each(batches):
+        now, held, kind = None, [], None
+
+        def found():
+            links = forest([f for _, f in held], least) if len(held) > 1 else []
+            pairs = [(*sorted((held[x][0], held[y][0])), near) for x, y, near in links]
+            a, b, near = zip(*pairs) if pairs else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(near, pa.float64())], names=["a", "b", "likeness"])
+
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            for *key, doc_id, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if len(held) > 1:
+                        yield found()
+                    now, held = key, []
+                held.append((doc_id, fp))
+        if len(held) > 1:
+            yield found()
+
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("likeness", T.DoubleType())])
+    return dealt.repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group, "doc_id").mapInArrow(each, schema).distinct()

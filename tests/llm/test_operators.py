@@ -333,6 +333,29 @@ def test_edit_fingerprints(spark):
     assert {(p["a"], p["b"]) for p in pairs} == {(0, 1)}
 
 
+def test_near_pairs_lose_no_link(spark):
+    r = random.Random(29)
+    bases = ["".join(r.choice("abcdefgh ") for _ in range(200)) for _ in range(3)]
+    texts = [t[:k] + "#" * r.randint(0, 3) + t[k:] for t in bases for k in (r.randint(0, 199) for _ in range(8))] + [None, "", bases[0], bases[0]]
+    prints = edit_embedding.fingerprints([t or "" for t in texts])
+    share = lambda x, y: any(x[k : k + 8] == y[k : k + 8] and len(x[k : k + 8]) == 8 for k in range(0, len(x), 8))
+    least = {p: prints.index(p) for p in prints if p}
+    want = [(least[x], least[y]) for x, y in itertools.combinations(least, 2) if share(x, y) and edit_embedding.likeness(x, y) >= 0.8]
+
+    def groups(pairs):
+        of = {i: {i} for i in range(len(texts))}
+        for a, b in pairs:
+            both = of[a] | of[b]
+            for i in both:
+                of[i] = both
+        return {frozenset(g) for g in of.values()}
+
+    got = edit_embedding.near_pairs(table(spark, texts), chunk=3).collect()
+    assert groups((p["a"], p["b"]) for p in got) == groups(want) and len(want) > 5
+    assert {(p["a"], p["b"]) for p in got} <= {tuple(sorted(w)) for w in want}
+    assert all(abs(p["likeness"] - edit_embedding.likeness(prints[p["a"]], prints[p["b"]])) < 1e-9 for p in got)
+
+
 def test_toxicity(spark):
     r, words, bad = random.Random(16), ["alpha", "beta", "gamma", "delta", "eta", "theta"], ["vequa", "vequi", "trash"]
     texts, labels = [], []
