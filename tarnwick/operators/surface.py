@@ -56,3 +56,42 @@ def divergences(recorded: DataFrame, scope: Scope, output: str, actual: str) ->
     computed = apply(scope, recorded)
     differs = F.col("err").isNotNull() | ~F.col(actual).eqNullSafe(F.col(output))
     return computed.where(differs).withColumn("direction", F.signum(F.col(actual) - F.col(output)).cast("int"))
+
+
+def undetermined(surface: DataFrame, inputs: list[str], output: str) -> DataFrame:
+    """For each cell that the rules fail on: low and high, the range of the output over the decided cells that differ
+    from it in exactly one input, else over all decided cells (near says which), and amount, high less low.
+
+    Neighbours share all inputs but one, so each is met by an equi-join on the others: no pairs of cells are listed.
+    """
+    decided = surface.where("err is null")
+    failed = surface.where("err is not null").select(*inputs, "err")
+    ranges = None
+    for moved in inputs:
+        kept = [i for i in inputs if i != moved]
+        key = F.struct(*(F.col(i) for i in kept)) if kept else F.lit(0)
+        by = decided.groupBy(key.alias("_key")).agg(F.min(output).alias("low"), F.max(output).alias("high"))
+        met = failed.withColumn("_key", key).join(by, "_key").select(*inputs, "err", "low", "high")
+        ranges = met if ranges is None else ranges.unionByName(met)
+    near = ranges.groupBy(*inputs, "err").agg(F.min("low").alias("near_low"), F.max("high").alias("near_high"))
+    whole = decided.agg(F.min(output).alias("all_low"), F.max(output).alias("all_high"))  # one row
+    same = F.lit(True)
+    for i in inputs:
+        same = same & F.col(f"f.{i}").eqNullSafe(F.col(f"n.{i}"))
+    out = failed.alias("f").join(near.alias("n"), same, "left").select(*(F.col(f"f.{i}").alias(i) for i in inputs), F.col("f.err").alias("err"), "near_low", "near_high")
+    out = out.join(F.broadcast(whole), how="left").withColumn("near", F.col("near_low").isNotNull())
+    low, high = F.coalesce("near_low", "all_low"), F.coalesce("near_high", "all_high")
+    return out.select(*inputs, "err", "near", low.alias("low"), high.alias("high"), (high - low).alias("amount"))
+
+
+def contradictions(left: Scope, right: Scope, facts: DataFrame, shared: dict[str, Column], agree_on: dict[str, str]) -> DataFrame:
+    """Facts that the left scope decides and the right one decides otherwise, or can't decide: the facts' columns, field,
+    left_value and right_value (as text) and right_err. ``shared`` gives the right scope's inputs from the facts' columns
+    and the left one's; ``agree_on`` names the outputs to compare, left to right."""
+    decided = apply(left, facts).where("err is null")
+    mine = decided.select(*facts.columns, F.struct(*(F.col(v).alias(v) for v in agree_on)).alias("_left"), F.struct(*(c.alias(n) for n, c in shared.items())).alias("_given"))
+    both = mine.select(F.struct(*facts.columns).alias("_facts"), "_left", "_given.*")
+    got = apply(right, both).withColumn("right_err", F.col("err"))
+    checks = [F.struct(F.lit(f"{v}/{w}").alias("field"), F.col(f"_left.{v}").cast("string").alias("left_value"), F.when(F.col("err").isNull(), F.col(w)).cast("string").alias("right_value"), (~F.col(f"_left.{v}").eqNullSafe(F.col(w)) | F.col("err").isNotNull()).alias("differs")) for v, w in agree_on.items()]
+    out = got.withColumn("_c", F.explode(F.filter(F.array(*checks), lambda c: c["differs"])))
+    return out.select("_facts.*", "_c.field", "_c.left_value", "_c.right_value", "right_err")

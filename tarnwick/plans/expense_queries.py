@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.operators import absences
-from tarnwick.plans import expenses, obligations
+from tarnwick.operators import absences, surface
+from tarnwick.plans import expenses, library, obligations
 from tarnwick.plans.registry import query
 from tarnwick.plans.rules import apply
 from tarnwick.sources import table
@@ -124,3 +124,59 @@ def commission_after_relief(spark, sf_dir):
     start = F.lit(YEAR[0]).cast("date")
     out = apply(obligations.COMMISSION, relieved.withColumns({"new_share": F.lit(0).cast("decimal(9,4)"), "commenced": start, "year_start": start, "salary": F.lit(50000).cast(MONEY)}))
     return out.select("o_custkey", "relief_days", *_doubles("relief", "relieved_quota", "payable"), "err")
+
+
+_REVENUE = f"""c as (select o_custkey k, o_clerk, o_orderkey, s, v, churned, s between date '{YEAR[0]}' and date '{YEAR[1]}' as in_year,
+    not exists(select 1 from orders p where p.o_custkey = b.o_custkey and p.o_orderdate::date < s and p.o_orderdate::date >= (s - interval 24 month)::date) fresh
+  from (select o_custkey, o_custkey % 40 o_clerk, o_orderkey, o_orderdate::date s, cast(round(o_totalprice * 100) as hugeint) v, o_orderkey % 5 = 0 and o_orderkey % 400 <= 180 churned from orders) b),
+r as (select o_clerk seller, sum(v) gross, coalesce(sum(v) filter (churned), 0) lost, coalesce(sum(v) filter (not churned and fresh), 0) fresh from c where in_year group by 1)"""
+
+
+def _revenue(spark, sf_dir):
+    """Contracts (orders) of the plan year by seller; a logo is new if its customer has signed nothing in 24 months."""
+    signed = F.datediff("d", F.lit("1970-01-01"))
+    earlier = F.max("d").over(Window.partitionBy("o_custkey").orderBy(signed).rangeBetween(Window.unboundedPreceding, -1))
+    contracts = _orders(spark, sf_dir).select("o_custkey", "o_orderkey", "d", F.col("o_totalprice").cast(MONEY).alias("v"), earlier.alias("earlier")).where(F.col("d").between(*(F.lit(y).cast("date") for y in YEAR)))
+    ended = F.expr("case when o_orderkey % 5 = 0 then date_add(d, cast(o_orderkey % 400 as int)) end")
+    churned = F.coalesce((ended >= F.col("d")) & (F.datediff(ended, "d") <= 180), F.lit(False))
+    fresh = F.coalesce(F.col("earlier") < F.add_months("d", -24), F.lit(True))
+    value = lambda c: F.sum(F.when(c, F.col("v")).otherwise(F.lit(0).cast(MONEY))).cast(MONEY)
+    return contracts.withColumns({"churned": churned, "fresh": fresh}).groupBy((F.col("o_custkey") % 40).alias("seller")).agg(value(F.lit(True)).alias("gross"), value(F.col("churned")).alias("lost"), value(~F.col("churned") & F.col("fresh")).alias("new_revenue")).withColumn("net", (F.col("gross") - F.col("lost")).cast(MONEY))
+
+
+@query(f"""with {_REVENUE} select seller, gross::double / 100 gross, lost::double / 100 churned, (gross - lost)::double / 100 net, fresh::double / 100 new_revenue, round(case when gross = lost then 0 else fresh::double / (gross - lost)::double end, 6) new_share from r""")
+def booked_revenue(spark, sf_dir):
+    share = F.when(F.col("net") == 0, F.lit(0.0)).otherwise(F.col("new_revenue").cast("double") / F.col("net").cast("double"))
+    return _revenue(spark, sf_dir).select("seller", *_doubles("gross"), F.col("lost").cast("double").alias("churned"), *_doubles("net", "new_revenue"), F.round(share, 6).alias("new_share"))
+
+
+@query(f"""with {_REVENUE},
+e as (select seller, gross - lost net, fresh * 5 > (gross - lost) * 3 many, ((1 + seller % 4) * 30000000)::hugeint q from r),
+b as (select *, case when net * 2 < q then 0 when net < q then 100 when net * 2 < q * 3 then 150 else 200 end band from e),
+p as (select *, least((net * 8 * (case when many then band + 25 else band end) + 5000) // 10000, (case when net > q * 2 then 16000000 else 10000000 end)::hugeint) due, ((seller % 6) * 500000)::hugeint had from b)
+select seller, case when seller % 7 = 0 then 0 else greatest(due - had, 0) end::double / 100 payable, greatest(had - due, 0)::double / 100 overpaid from p""")
+def leaver_commission(spark, sf_dir):
+    """Commission of those who leave: what is due less what was paid, nothing after gross misconduct."""
+    start = F.lit(YEAR[0]).cast("date")
+    share = F.when(F.col("net") == 0, F.lit(0)).otherwise(F.col("new_revenue") / F.col("net")).cast("decimal(28,12)")
+    facts = _revenue(spark, sf_dir).select("seller", "net", share.alias("new_share"), ((1 + F.col("seller") % 4) * 300000).cast(MONEY).alias("quota"), start.alias("commenced"), start.alias("year_start"), F.lit(40000).cast(MONEY).alias("salary"))
+    due = apply(obligations.COMMISSION, facts).select("seller", F.col("payable").alias("due"), (F.col("seller") % 6 * 5000).cast(MONEY).alias("already_paid"), (F.col("seller") % 7 == 0).alias("misconduct"))
+    return apply(expenses.LEAVER, due).select("seller", *_doubles("payable", "overpaid"))
+
+
+@query("""with p as (select unnest([500, 999, 1000, 1001, 99999, 100000, 150000]) price)
+select price::double price, case when price < 1000 then 'NoApplicableRule' else 'Conflict' end err, true near, 2000.0::double low, 2000.0::double high, 0.0::double amount from p where price < 1000 or price >= 100000""")
+def undetermined_amounts(spark, sf_dir):
+    """What turns on the cells that the rival caps don't decide."""
+    grid = surface.grid(spark, {"price": (MONEY, [500, 999, 1000, 1001, 99999, 100000, 150000])})
+    return surface.undetermined(surface.cells(library.RIVAL_CAPS, grid), ["price"], "cap").select("price", "err", "near", "low", "high", "amount").select(*_doubles("price"), "err", "near", *_doubles("low", "high", "amount"))
+
+
+@query("""with f as (select o_orderkey, cast(floor(o_totalprice / 1000) as int) v from orders)
+select o_orderkey, 'reimbursable/reimbursable' as field, v::double left_value, least(v, 60)::double right_value from f where v > 60 and o_orderkey % 3 <> 0""")
+def contradictions(spark, sf_dir):
+    """Journeys that the rail rule and the taxi rule answer differently."""
+    facts = _given(_orders(spark, sf_dir), ORDER, first_class="o_orderkey % 3 = 0", ticket=f"cast(floor(o_totalprice / 1000) as {MONEY})", standard_fare=f"cast(0 as {MONEY})", obtained="false", in_writing="false", obtained_at="d", incurred_on="d", authority=f"cast(0 as {MONEY})")
+    ordinary = facts.where("not first_class")
+    out = surface.contradictions(expenses.RAIL, obligations.TAXI, ordinary, {"cost": F.col("ticket"), "minute": F.lit(720), "airport": F.lit(False)}, {"reimbursable": "reimbursable"})
+    return out.select(*ORDER, "field", *_doubles("left_value", "right_value"))

@@ -146,4 +146,15 @@ QUOTA_RELIEF = Scope(
     ("relief_days <= 365", "quota >= 0"),
 )
 
-SCOPES = {s.name: s for s in (NIGHT, RAIL, MEALS, TRAVEL_DAYS, CREDIT_CLAIM, MONTHLY_CHARGE, MONTHLY_ACCRUAL, WORKING_HOUR, QUOTA_RELIEF)}
+#: Inputs: due, already_paid, misconduct.
+LEAVER = Scope(
+    "leaver",
+    {"payable": MONEY, "overpaid": MONEY},
+    (
+        D("payable", "greatest(due - already_paid, 0.00)", label="rest"),
+        D("payable", "0.00", "misconduct", "misconduct", "rest"),
+        D("overpaid", "greatest(already_paid - due, 0.00)"),
+    ),
+)
+
+SCOPES = {s.name: s for s in (NIGHT, RAIL, MEALS, TRAVEL_DAYS, CREDIT_CLAIM, MONTHLY_CHARGE, MONTHLY_ACCRUAL, WORKING_HOUR, QUOTA_RELIEF, LEAVER)}
