@@ -16,7 +16,7 @@ from tarnwick.sources import table
 b as (select *, case when q <= 0 or n * 2 < q then 0 when n < q then 100 when n * 2 < q * 3 then 150 else 200 end band from f),
 a as (select *, case when share > 60 then band + 25 else band end before from b),
 c as (select *, case when joiner then least(before, 150) when share > 60 then before else band end acc, salary * case when q > 0 and n > q * 2 then 4 else 2.5 end cap from a)
-select k o_custkey, acc / 100.0::double accelerator, cast(case when q > 0 then round(n::double / q::double, 6) else 0 end as double) attainment,
+select k o_custkey, acc / 100.0::double accelerator, case when q > 0 then (n * 2000000 + q) // (2 * q) else 0 end::double / 1000000 attainment,
   least((n * 8 * acc + 5000) // 10000, cap::hugeint)::double / 100 payable, case when q = 0 then 'AssertionFailed' end err from c""")
 def commission(spark, sf_dir):
     k, start = F.col("o_custkey"), F.lit("2020-01-01").cast("date")
@@ -30,7 +30,7 @@ def commission(spark, sf_dir):
         (20000 + k % 7 * 10000).cast("decimal(12,2)").alias("salary"),
     )
     out = apply(obligations.COMMISSION, facts)
-    return out.select("o_custkey", F.col("accelerator").cast("double").alias("accelerator"), F.round(F.col("attainment").cast("double"), 6).alias("attainment"), F.col("payable").cast("double").alias("payable"), "err")
+    return out.select("o_custkey", F.col("accelerator").cast("double").alias("accelerator"), F.round("attainment", 6).cast("double").alias("attainment"), F.col("payable").cast("double").alias("payable"), "err")
 
 
 @query("""with f as (select l_orderkey, l_linenumber, l_extendedprice, l_shipdate::date paid_on, l_shipdate::date + (l_partkey % 1500)::int assessed, l_returnflag = 'R' churned, l_partkey % 3 = 0 breach from lineitem)
