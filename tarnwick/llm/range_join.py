@@ -45,7 +45,7 @@ def link_blocks(left: np.ndarray, right: np.ndarray, cosine: float, rows: int =
         yield k, left[k : k + rows] @ right.T >= cosine
 
 
-def _one_length(vectors: DataFrame, cosine: float, cell: int) -> tuple[DataFrame, DataFrame]:
+def _one_length(vectors: DataFrame, cosine: float, cell: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Of distinct vectors of one length (node, m, v): links (node, n) and edges (a, b)."""
     spark = vectors.sparkSession
     n = vectors.count()
@@ -67,7 +67,7 @@ def _one_length(vectors: DataFrame, cosine: float, cell: int) -> tuple[DataFrame
     reach = np.zeros(count)
     for r in vectors.mapInArrow(homes, "cell int, d double").groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect():
         size[r["cell"]], reach[r["cell"]] = r["n"], r["d"] + SLACK
-    blocks = np.maximum(1, -(-size // BLOCK))
+    blocks = np.maximum(1, -(-size // most))
 
     def dealt(batches):
         """Each row once for every pair of blocks it takes part in: as one of the cell's own (side 0) or as any (1)."""
@@ -104,6 +104,7 @@ def _one_length(vectors: DataFrame, cosine: float, cell: int) -> tuple[DataFrame
         x = unit_vectors(rows.to_batches()[0])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b, n_links = [], [], np.zeros(len(left), np.int64)
+        itself = int(rows.column("i")[0].as_py() == rows.column("j")[0].as_py())  # a row meets itself in its own block only
         root = {}
 
         def find(u):
@@ -115,7 +116,7 @@ def _one_length(vectors: DataFrame, cosine: float, cell: int) -> tuple[DataFrame
         covered = np.full(len(right), -1, np.int64)  # the first left row that each right one links with
         for k, linked in link_blocks(x[left], x[right], cosine):
             n_links[k : k + len(linked)] = linked @ m[right]
-            for r in np.flatnonzero(linked.sum(1) > 1):
+            for r in np.flatnonzero(linked.sum(1) > itself):
                 hit = np.flatnonzero(linked[r])
                 u = int(node[left[k + r]])
                 # What an earlier row covers is tied to it once for each such row, not for each link.
@@ -134,9 +135,9 @@ def _one_length(vectors: DataFrame, cosine: float, cell: int) -> tuple[DataFrame
     return out.where("node is not null").groupBy("node").agg(F.sum("n").alias("n")), out.where("a is not null").select("a", "b")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, cell: int = CELL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; a link is a cosine, in double precision, of ``cosine`` or
-    more."""
+    more. Cells of more than ``block`` own vectors are joined by pairs of blocks, with the same result."""
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.forall("v", fine) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -146,7 +147,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     some = written(some.select("v", "least", "m", F.coalesce("least", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("v"), 2)).alias("node"), F.size("v").alias("length")), "distinct")
     links = edges = None
     for r in sorted(r["length"] for r in some.select("length").distinct().collect()):  # a table has one length, as a rule
-        n, e = _one_length(some.where(F.col("length") == r).select("node", "m", "v"), cosine, cell)
+        n, e = _one_length(some.where(F.col("length") == r).select("node", "m", "v"), cosine, cell, block)
         links, edges = (n, e) if links is None else (links.union(n), edges.union(e))
     if links is None:
         own = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))

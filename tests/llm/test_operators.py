@@ -275,6 +275,19 @@ def test_range_join(spark):
     assert [(got[k]["n_links"], got[k]["component_id"]) for k in (901, 902, 903, 904, 905, 906, None, 907)] == [(0, 901), (0, 902), (0, 903), (0, 904), (2, 905), (2, 905), (2, 905), (0, 907)]
 
 
+def test_range_join_by_blocks(spark):
+    """Pairs that are each other's only link, in one cell of several blocks."""
+    g = np.random.default_rng(2)
+    v = np.repeat(g.normal(size=(60, 32)), 2, axis=0) + g.normal(size=(120, 32)) * 0.01
+    rows = spark.createDataFrame([(k, [float(z) for z in x]) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    group = nodes(np.argwhere(linked), len(v))
+    assert len(set(group)) == 60
+    got = {r["vec_id"]: r for r in range_join.near_duplicates(rows, cell=1000, block=16).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(120)] == [(1, group[i], group[i] == i) for i in range(120)]
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     runs = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
