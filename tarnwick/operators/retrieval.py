@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +42,48 @@ def best(scores: DataFrame, per: str, item: str, k: int, least: float = 0.0) ->
     return scores.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest(asked: DataFrame, items: DataFrame, k: int, block: int = 1024, part: int = 16384) -> DataFrame:
+    """query_id, item_id, score (the cosine to six places) and rank of the k nearest items of another id to each query.
+
+    asked has query_id and e, items item_id and e. Each block of about ``block`` queries meets each part of about
+    ``part`` items in one task, which hands on k items of each query at most. Vectors that are null, zero or hold null or
+    non-finite components, and those of another length, are near nothing.
+    """
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    good = F.coalesce(F.forall("e", fine) & F.exists("e", lambda x: x != 0), F.lit(False))
+    q, v = (d.select(d[i].cast("long").alias("id"), d["e"].cast("array<double>").alias("e")).where(good).withColumn("length", F.size("e")) for d, i in ((asked, "query_id"), (items, "item_id")))
+    blocks, parts = max(1, -(-q.count() // block)), max(1, -(-v.count() // part))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("block", own(blocks)).withColumn("part", every(parts))
+    v = v.withColumn("part", own(parts)).withColumn("block", every(blocks))
+
+    def unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = rows.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        x = x / np.abs(x).max(1, keepdims=True)
+        return rows.column("id").to_numpy(), x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            (ids, x), (names, y) = unit(left), unit(right)
+            out = []
+            for a in range(0, len(x), 128):
+                scores = np.round(x[a : a + 128] @ y.T, 6) + 0.0
+                scores[ids[a : a + 128, None] == names] = -2
+                least = np.partition(scores, max(0, len(names) - k), axis=1)[:, max(0, len(names) - k)]
+                for s, low, i in zip(scores, least, ids[a : a + 128]):
+                    hit = np.flatnonzero(s >= max(low, -1.5))
+                    hit = hit[np.lexsort((names[hit], -s[hit]))[:k]]
+                    out.append((np.full(len(hit), i), names[hit], s[hit]))
+            found = [np.concatenate(c) for c in zip(*out)]
+        return pa.table(dict(zip(("query_id", "item_id", "score"), found)))
+
+    group = ["length", "block", "part"]
+    scores = q.groupBy(*group).cogroup(v.groupBy(*group)).applyInArrow(met, "query_id long, item_id long, score double")
+    return best(scores, "query_id", "item_id", k, -1.0)
+
+
 def blend(dense: DataFrame, lexical: DataFrame, keys: list[str], weight: float = 0.20) -> DataFrame:
     """(1 - weight) of the dense score and weight of the lexical one; a missing score is 0."""
     both = dense.withColumnRenamed("score", "dense").join(lexical.withColumnRenamed("score", "lexical"), keys, "full")

@@ -259,6 +259,16 @@ def dense_search(spark, sf_dir):
     return retrieval.best(scores, "query_id", "vec_id", 10, -1.0).select("query_id", "vec_id", "score", "rank")
 
 
+@query("""with q as (select vec_id query_id, embedding::double[] e from embeddings where vec_id % 20 = 0),
+s as (select query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 6) score from q, embeddings v where v.vec_id <> query_id)
+select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s qualify rank <= 10""")
+def dense_search_all(spark, sf_dir):
+    """The ten nearest of all vectors to each one whose id is divisible by 20, by blocks."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    found = retrieval.nearest(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), 10)
+    return found.select("query_id", F.col("item_id").alias("vec_id"), "score", "rank")
+
+
 @query("""with o as (select doc_id k, case when doc_id % 7 = 0 then 'old' else md5(text) end had, case when doc_id % 5 = 0 then 'removed' else 'done' end status from documents where doc_id % 3 <> 0),
 n as (select doc_id k, md5(text) has from documents where doc_id % 4 <> 0)
 select coalesce(o.k, n.k) as "key", coalesce(has, had) fingerprint, case when has is null then 'removed' when had is null then 'pending' when had <> has then 'pending' when status = 'removed' then 'pending' else status end status
