@@ -24,21 +24,33 @@ from tarnwick.llm.common import raw_texts, slices, text_of
 
 @dataclass(frozen=True)
 class Rule:
-    """``head`` and ``body`` follow each other; the part after the head's longest match has ``least`` bytes or more."""
+    """``head`` and ``body`` follow each other; the part after the head's longest match has ``least`` bytes or more. Spans
+    go on over the longest match of ``tail`` that follows, if there is one."""
 
     kind: str
     head: str
     body: str
     least: int = 0
     base: bool = False
+    tail: str = ""
 
 
+_LABEL = r"(RSA |EC |DSA |OPENSSH |ENCRYPTED |PGP )?PRIVATE KEY( BLOCK)?-----"
+#: A line's end, also one that is escaped.
+_EOL = r"(\r?\n|(\\r)?\\n)"
+#: What follows the first line of a key: all up to its END line, with no other such line between; without an END line,
+#: the header lines and the runs of base64 in lines of 16 or more, with the shorter line after them.
+_KEY = (
+    rf"(-{{0,4}}[^-])*-----END {_LABEL}"
+    rf"|(({_EOL}(Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\n\\]*)+{_EOL})?((\s|\\[nr])*[A-Za-z0-9+/=]{{16,}})+({_EOL}[A-Za-z0-9+/=]+)?"
+)
+
 #: The rules in the order in which their kinds are listed.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]+", 12, True),
     Rule("access", "", r"AKIA[A-Z0-9]+", 18, True),
     Rule("hex", "", r"[0-9a-f]{16,}", 16, True),  # the same spans as of [0-9a-f]+ with 16 characters or more
-    Rule("private_key", "", r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |PGP )?PRIVATE KEY( BLOCK)?-----"),
+    Rule("private_key", "", f"-----BEGIN {_LABEL}", tail=_KEY),
     Rule("github", "gh[oprsu]_", r"[A-Za-z0-9]+", 36),
     Rule("slack", "xox[abeoprs]-", r"[A-Za-z0-9-]+", 10),
     Rule("google", "AIza", r"[A-Za-z0-9_-]+", 35),
@@ -55,6 +67,7 @@ class Scanner:
         self.starts: list[Automaton] = [compile_trees([reversed_tree(t)], True) for t in whole]
         self.lengths: list[Automaton] = [compile_trees([t], False) for t in whole]
         self.heads: list[Automaton] = [compile_trees([parse(r.head)], False) for r in rules]
+        self.tails: list[Automaton | None] = [compile_trees([parse(r.tail)], False) if r.tail else None for r in rules]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """Start, rule and end in code points, by start and rule."""
@@ -70,6 +83,8 @@ class Scanner:
                 end = self.lengths[k].longest(data, start)
                 if end <= start:
                     continue
+                if self.tails[k]:
+                    end = max(end, self.tails[k].longest(data, end))
                 cursor = end
                 if end - self.heads[k].longest(data, start) >= rule.least:
                     out.append((start, k, end))

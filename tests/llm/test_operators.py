@@ -260,6 +260,26 @@ def test_secret_spans(spark):
     assert kept == dict(enumerate(HARD)) | {4: "[assign]"}
 
 
+def test_whole_private_keys(spark):
+    r = random.Random(15)
+    line = lambda n: "".join(r.choice("ABCxyz019+/") for _ in range(n))
+    body = [line(64), line(64), line(21) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    heads = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    pgp = ["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: GnuPG v2", "", *body, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"]
+    keys = [eol.join(x) for eol in ("\n", "\r\n", "\\n", "\n    ", "\n> ", " ") for x in ([begin, *body, end], [begin, *heads, *body, end], pgp)]
+    # Without an END line, or with one that is cut.
+    keys += [eol.join(x) for eol in ("\n", "\r\n", "\\n") for x in ([begin, *body], [begin, *heads, *body], [begin, *body[:1]])]
+    texts = [f"é before {k}{after}" for k in keys for after in ("", "\n\nAnd a line, after.")]
+    want = [f"é before [private_key]{after}" for _ in keys for after in ("", "\n\nAnd a line, after.")]
+    texts += [f"{begin} is how it starts.", f"{keys[0]} and {keys[0]}.", f"{begin}\n{body[0]}\n\nText. {keys[0]}!"]
+    want += ["[private_key] is how it starts.", "[private_key] and [private_key].", "[private_key]\n\nText. [private_key]!"]
+    got = {x["doc_id"]: x["text"] for x in secrets.redact(table(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+    k = keys[0]
+    assert secrets.scanner().spans(f"é {k} .".encode())[0] == (2, 3, 2 + len(k))
+
+
 def test_range_join(spark):
     g = np.random.default_rng(1)
     c = g.normal(size=(6, 8))
