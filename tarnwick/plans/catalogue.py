@@ -248,6 +248,21 @@ def lexical_search(spark, sf_dir):
     return retrieval.best(scores, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
 
 
+@query(r"""with d as (select doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+|\d+(?:\.\d+)?'), lambda t: case when contains(t, '.') then regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') else t end)) ts from documents),
+q as (select item_id query_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+|\d+(?:\.\d+)?'), lambda t: case when contains(t, '.') then regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') else t end)) ts from benchmark),
+dt as (select doc_id, unnest(ts) t from d), qt as (select query_id, unnest(ts) t from q),
+df as (select t, count(*) c from dt group by 1),
+w as (select query_id, qt.t, case when c is null then ln(1.0 + (select count(*) from documents)) else ln(1 + (select count(*) from documents) / c) end idf from qt left join df on qt.t = df.t),
+s as (select query_id, doc_id, sum(idf) m from w join dt on w.t = dt.t group by 1, 2), tot as (select query_id, sum(idf) a from w group by 1),
+r as (select query_id, doc_id, round(m / a, 6) score from s join tot using (query_id))
+select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) rank from r qualify rank <= 5""")
+def lexical_search_all(spark, sf_dir):
+    """The five best documents for every benchmark item."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scores = retrieval.lexical_scores(asked, table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+    return retrieval.best(scores, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+
+
 @query("""with q as (select vec_id query_id, embedding::double[] e from embeddings where vec_id < 5),
 s as (select query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 6) score from q, embeddings v where v.vec_id <> query_id)
 select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s qualify rank <= 10""")
