@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,8 @@ class Merges:
             go = np.flatnonzero(best != NEVER)
             if len(go) < 0.75 * m:  # go on with the others only
                 out[:, live] = s
-                live, s, r, left, right, best = live[go], s[:, go], r[:, go], left[:, go], right[:, go], best[go]
+                live, best = live[go], best[go]
+                s, r, left, right = (x.take(go, 1) for x in (s, r, left, right))  # contiguous, unlike x[:, go]
                 i, m = i[go] // np.int32(m) * np.int32(len(go)), len(go)
                 k = np.arange(m, dtype=np.int32)
                 i += k
@@ -156,6 +158,17 @@ class LibraryEncoder:
         ((_, ids, _),) = self.stretches.encode(pa.array([text]))
         return ids.tobytes()
 
+    def ended(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of slices of a column of texts (null: empty): where each begins, the ids of its texts, each with the end id,
+        one after the other, and their number for each text."""
+        for at, ids, count in self.stretches.encode(column):
+            n = count + 1
+            out = np.empty(len(ids) + len(n), np.uint32)
+            own = np.ones(len(out), bool)
+            own[np.cumsum(n) - 1] = False
+            out[own], out[~own] = ids, end_id
+            yield at, out, n
+
 
 @functools.lru_cache(2)
 def encoder(path: str, spaces: bool) -> LibraryEncoder:

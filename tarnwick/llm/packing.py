@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tarnwick.llm.common import slices, text_of, texts, written
+from tarnwick.llm.common import text_of, written
 from tarnwick.llm.library_tokens import encoder
 
 Filling = tuple[int, ...]
@@ -195,21 +195,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def each(batches):
-        encode, part, seen = encoder(tokenizer, spaces).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
-        end = np.array([end_id], "<u4").tobytes()
-        for rows in slices(batches):
-            at, columns = [], [[] for _ in names[1:]]
-            for k, text in enumerate(texts(rows.column("text"))):
-                ids = memoryview(encode(text) + end)
-                for start in range(0, len(ids) // 4, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    length = len(piece) // 4
-                    at.append(k)
-                    for values, v in zip(columns, (start // capacity, start, length, zlib.crc32(piece), part, seen[length])):
-                        values.append(v)
-                    seen[length] += 1
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names=names)
+        ended, part, seen = encoder(tokenizer, spaces).ended, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for rows in batches:
+            for at, ids, n in ended(rows.column("text"), end_id):
+                pieces, before = -(-n // capacity), np.cumsum(n) - n
+                of = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(n[of] - start, capacity)
+                flat, first = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 4 * (before[of] + start)
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+                order, many = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(of), np.int64)
+                nth[order] = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(seen, many)
+                seen += many
+                columns = (piece.astype(np.int32), start, length, np.array(crc, np.int64), np.full(len(of), part, np.int32), nth)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at + of)), *map(pa.array, columns)], names=names)
 
     kinds = (T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.LongType())
     return docs.mapInArrow(each, T.StructType([docs.schema["doc_id"], *map(T.StructField, names[1:], kinds)]))

@@ -187,7 +187,7 @@ class Known:
         self.ids[self.used_ids : self.used_ids + total] = ids
         self.n, self.used_ids = self.n + m, self.used_ids + total
         if self.n * 2 > 1 << self.bits:
-            self.bits += 1
+            self.bits = (self.n * 2).bit_length()
             self.table = np.full(1 << self.bits, -1, np.int32)
             self._enter(np.arange(self.n))
         else:

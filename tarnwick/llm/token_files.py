@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tarnwick.llm.common import in_ranges, slices, text_of, texts
+from tarnwick.llm.common import in_ranges, text_of
 from tarnwick.llm.library_tokens import encoder
 
 #: Row groups and pages in bytes and rows; version 2 pages hold delta encodings.
@@ -43,15 +43,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sp
     docs = text_of(docs)
 
     def each(batches):
-        encode, part, first = encoder(tokenizer, spaces).encode, TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for rows in slices(batches):
-            ids = [encode(t) + end for t in texts(rows.column("text"))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            starts = first + np.cumsum(n) - n
-            first += int(n.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), rows.column("doc_id"), pa.array(starts), pa.array(n), lists], names=["part", "doc_id", "first", "n_tokens", "ids"])
+        ended, part, first = encoder(tokenizer, spaces).ended, TaskContext.get().partitionId(), 0
+        for rows in batches:
+            for at, ids, n in ended(rows.column("text"), end_id):
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), rows.column("doc_id").slice(at, len(n)), pa.array(first + ends - n), pa.array(n), lists], names=["part", "doc_id", "first", "n_tokens", "ids"])
+                first += int(ends[-1])
 
     ordered = in_ranges(docs, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()])
     schema = T.StructType([T.StructField("part", T.IntegerType()), docs.schema["doc_id"], T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])

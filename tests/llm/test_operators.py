@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -99,9 +100,13 @@ def test_bpe_table(spark):
 @pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_library_encoder(name, spaces):
     mine, whole = LibraryEncoder(P.path(name), spaces, bound=200), Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
-    for t in some_texts(4, 1500) + [x or "" for x in HARD]:
-        assert memoryview(mine.encode(t)).cast("I").tolist() == whole.encode(t, add_special_tokens=False).ids
+    texts = some_texts(4, 1500) + HARD + ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|startoftext|>  y", "<|end oftext|>"]
+    texts += [" ".join(some_texts(5, 40)), "x" * 2000 + " y", "  ", "a  b", "a \t b", "\u2028 a\u3000 b\r\n c"]
+    for t in texts:
+        assert memoryview(mine.encode(t or "")).cast("I").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    for column in (pa.array(texts), pa.array([None, *texts], pa.string())[1:]):  # many at a time, and from a slice
+        got = [part for _, ids, n in mine.ended(column, 7) for part in np.split(ids, np.cumsum(n)[:-1])]
+        assert [g.tolist() for g in got] == [[*whole.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
 
 
 def test_license_phrases(spark):
@@ -132,15 +137,14 @@ def test_license_passages(spark):
 
 
 def test_token_files(spark):
-    texts, path = some_texts(6, 60) + HARD, shared_path(spark, "test-tokens")
+    texts, path = some_texts(6, 60) + HARD + ["an <|endoftext|> here", "<|endoftext|>"], shared_path(spark, "test-tokens")
     ids = random.Random(7).sample(range(1000), len(texts))
     token_files.write_tokens(table(spark, texts, ids), path, P.path("byte_bpe_50k.json"))
     got = {r["doc_id"]: r for r in token_files.with_checksums(token_files.read_tokens(spark, path, "n_tokens", "ids")).collect()}
     whole, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
     for i, t in sorted(zip(ids, texts)):
-        want = [*whole.encode((t or "").replace("<|endoftext|>", "<|endoftext|>"), add_special_tokens=False).ids, 0] if "<|endoftext|>" not in (t or "") else None
-        if want:
-            assert got[i]["n_tokens"] == len(want) and got[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+        want = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        assert got[i]["n_tokens"] == len(want) and got[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
         assert got[i]["start"] == start
         start += got[i]["n_tokens"]
 
