@@ -16,13 +16,18 @@ import bisect
 import functools
 import hashlib
 from array import array
+from collections.abc import Iterator
+from collections.abc import Iterator
 
+import numpy as np
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnwick.llm.common import Memo, single_spaced, slices, text_of, texts
+from tarnwick.llm.common import Memo, single_spaced, text_of, texts
+from tarnwick.llm.stretches import PATTERN, Stretches, class_table, spread
 
 
 class Codec:
@@ -100,7 +105,9 @@ class Codec:
         return ids[::-1]
 
     def _piece(self, text: str) -> bytes:
-        piece = text.encode()
+        return self._piece_ids(text.encode())
+
+    def _piece_ids(self, piece: bytes) -> bytes:
         whole = self.rank.get(piece)
         if whole is not None:
             return array("I", [whole]).tobytes()
@@ -123,6 +130,40 @@ class Codec:
         first, *rest = text.split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
+    @functools.cached_property
+    def _stretches(self) -> Stretches:
+        find = lambda pattern, text: (m.span() for m in regex.finditer(pattern, text))
+        return Stretches(self._merge, lambda text: np.frombuffer(self._pieces(text), np.uint32), class_table(find), True)
+
+    def _merge(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, by their prefixes' last tokens, and their number for each."""
+        whole = data.tobytes()
+        found = [self._piece_ids(whole[a:b]) for a, b in zip(at.tolist(), end.tolist())]
+        count = np.array([len(f) // 4 for f in found], np.int64)
+        return np.frombuffer(b"".join(found), np.uint32), count
+
+    def encode_many(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of slices of a column of texts (null: empty): where each begins, the ids of its texts, one after the other,
+        and their number for each text. Equal stretches are encoded once; patterns of other kinds go text by text."""
+        if self.pattern.pattern == PATTERN:
+            yield from self._stretches.encode(column)
+            return
+        for at in range(0, len(column), 256):
+            found = [self.encode(t) for t in texts(column.slice(at, 256))]
+            yield at, np.frombuffer(b"".join(found), np.uint32), np.array([len(f) // 4 for f in found], np.int64)
+
+    @functools.cached_property
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens' bytes one after the other, where each begins, and its length."""
+        length = np.array(list(map(len, self.token)), np.int64)
+        return np.frombuffer(b"".join(self.token), np.uint8), np.cumsum(length) - length, length
+
+    def decode_many(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, one after the other, and where each id's begin and the last one's end."""
+        data, first, length = self._bytes
+        n = length[ids]
+        return data[spread(first[ids], n)], np.append(0, np.cumsum(n))
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I").tolist()))
 
@@ -187,30 +228,27 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes every text and decodes the ids again: doc_id, ids (unsigned 32-bit, as binary), decoded (binary)."""
-    return _mapped(docs, path, pattern, [("ids", T.BinaryType(), lambda c, ids, back: ids), ("decoded", T.BinaryType(), lambda c, ids, back: back)])
+    return _mapped(docs, path, pattern, [("ids", T.BinaryType(), lambda ids, back: ids.tobytes()), ("decoded", T.BinaryType(), lambda ids, back: back.tobytes())])
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The same, as doc_id, n_tokens, ids_sha256 and decoded_sha256; ids and bytes don't leave their task."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _mapped(
-        docs, path, pattern,
-        [("n_tokens", T.LongType(), lambda c, ids, back: len(ids) // 4), ("ids_sha256", T.StringType(), lambda c, ids, back: sha(ids)), ("decoded_sha256", T.StringType(), lambda c, ids, back: sha(back))],
-    )
+    return _mapped(docs, path, pattern, [("n_tokens", T.LongType(), lambda ids, back: len(ids)), ("ids_sha256", T.StringType(), lambda ids, back: sha(ids)), ("decoded_sha256", T.StringType(), lambda ids, back: sha(back))])
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, columns: list) -> DataFrame:
     docs = text_of(docs)
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def each(batches):
         c = codec(path, pattern)
-        for part in slices(batches):
-            out = [[] for _ in columns]
-            for text in texts(part.column("text")):
-                ids = c.encode(text)
-                back = c.decode(ids)
-                for values, (_, _, make) in zip(out, columns):
-                    values.append(make(c, ids, back))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t.simpleString()]) for v, (_, t, _) in zip(out, columns))], names=["doc_id", *(n for n, _, _ in columns)])
+        for rows in batches:
+            for at, ids, n in c.encode_many(rows.column("text")):
+                ids, ends = np.ascontiguousarray(ids, "<u4"), np.append(0, np.cumsum(n))
+                back, places = c.decode_many(ids)
+                cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), places[ends[:-1]].tolist(), places[ends[1:]].tolist()))
+                out = [pa.array([make(ids[a:b], back[x:y]) for a, b, x, y in cuts], kinds[t.simpleString()]) for _, t, make in columns]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(at, len(n)), *out], names=["doc_id", *(name for name, _, _ in columns)])
 
     return docs.mapInArrow(each, T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t, _ in columns)]))

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Fixed value: the splitting pattern of the byte-level vocabularies, which ``piece_starts`` cuts by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Classes of characters: letters, numbers, white space, all others.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: A stretch begins (ends) with white space or is empty; a text that holds it is encoded as a whole.
