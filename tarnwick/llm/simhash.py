@@ -176,18 +176,38 @@ def linked(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     return dealt.repartition(partitions(fps.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id that links lead to, or its own)."""
-    rows = written(fingerprints(docs, words, seed), "fingerprints")
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """fp and component_id (null if no row of the component has an id) of written rows of doc_id and fp."""
     no_id = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("fp"), 2)
     fps = rows.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", F.coalesce("least", no_id).alias("node"))
     whole = components(linked(fps, radius))
     named = fps.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = named.select("fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.select("fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id that links lead to, or its own)."""
+    rows = written(fingerprints(docs, words, seed), "fingerprints")
+    return rows.join(_components(rows, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """The documents without those that link to one of a smaller id; all columns stay. Rows without an id stay."""
-    gone = near_duplicates(docs, words, radius, seed).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, the one of the smallest id; all columns stay. Of rows that share that id, repeated
+    ones or others, one stays if they are linked, each if they aren't. Rows without an id stay."""
+    text = docs.columns.index("text")
+
+    def each(batches):
+        for rows in slices(batches):
+            whole = rows.column("row")
+            own = raw_texts(whole.field(text).cast(pa.string()))
+            fps = np.array([fingerprint(d, words, seed) for d in own], np.uint64)
+            yield pa.RecordBatch.from_arrays([whole, pa.array(fps.view(np.int64))], names=["row", "fp"])
+
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    marked = whole.mapInArrow(each, T.StructType([*whole.schema.fields, T.StructField("fp", T.LongType())]))
+    rows = written(marked.withColumn("at", F.monotonically_increasing_id()), "fingerprinted")  # places hold once written
+    ids = rows.select(F.col("row.doc_id").alias("doc_id"), "fp", "at")
+    least = ids.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    kept = least.join(_components(ids, radius), "fp").groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    stay = rows.where("row.doc_id is not null").join(kept, "at", "left_semi").select("row.*")
+    return stay.unionByName(rows.where("row.doc_id is null").select("row.*"))

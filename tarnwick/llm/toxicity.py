@@ -6,7 +6,8 @@ out-of-fold predictions: each labelled document's come from models that have not
 
 The models are fitted on at most ``sample`` labelled documents, those whose ids hash lowest; every text is scored
 whole. Labels of null count as 0, documents and labels without an id aren't used in training, of repeated labels of an
-id the largest counts, and of repeated documents each row does. Null and empty texts get the probability of a text
+id the largest counts, and of documents that share an id the least text does; a feature counts once it is in ``least``
+of them all, however they lie over tasks. Null and empty texts get the probability of a text
 without evidence. Every row is kept, repeated ones too; further columns are ignored by the scores and kept by the
 filter. Without labels, all probabilities are 0.
 """
@@ -33,7 +34,7 @@ def features(unit: str) -> tuple[str, ...]:
     out = []
     for part in PARTS.findall(unit.lower()):
         if part.isalnum() or len(part) > 1:
-            out.append("=" + part[:32])
+            out.append("=" + part)
             out += ["^" + part[:n] for n in range(3, min(len(part), 8))]
         else:
             out.append("." + part)
@@ -114,7 +115,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.coalesce(c.cast("int"), F.lit(0))).alias(f"_y{k}") for k, c in enumerate(categories.values())))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded number of ids and marks
     ys = [f"_y{k}" for k in range(len(names))]
-    chosen = written(text_of(docs).join(F.broadcast(marked), "doc_id").repartition(tasks, "doc_id"), "labelled")
+    one = text_of(docs).join(F.broadcast(marked), "doc_id").groupBy("doc_id", *ys).agg(F.min("text").alias("text"))  # as many as ids
+    chosen = written(one.repartition(tasks, "doc_id"), "labelled")
 
     def count(batches):
         n, with_feature = Counter(), Counter()
@@ -123,15 +125,12 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
             for text, side in zip(texts(rows.column("text")), sides):
                 n[side] += 1
                 with_feature.update((f, side) for f in {f for u in set(text.split()) for f in features(u)})
-        total = Counter()
-        for (f, _), c in with_feature.items():
-            total[f] += c
-        out = [("", s, c) for s, c in n.items()] + [(f, s, c) for (f, s), c in with_feature.items() if total[f] >= least]
+        out = [("", s, c) for s, c in n.items()] + [(f, s, c) for (f, s), c in with_feature.items()]
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[1][k] for o in out], pa.int32()) for k in range(len(ys))), pa.array([o[2] for o in out], pa.int64())], names=["feature", *ys, "n"])
 
     counts = chosen.mapInArrow(count, "feature string, " + ", ".join(f"{y} int" for y in ys) + ", n long")
     by_side = counts.groupBy("feature").agg(*(F.sum(F.when(F.col(y) == v, F.col("n")).otherwise(0)).alias(f"{y}_{v}") for y in ys for v in (0, 1)))
-    by_side = written(by_side, "features")
+    by_side = written(by_side.where((F.col("feature") == "") | (F.col(f"{ys[0]}_0") + F.col(f"{ys[0]}_1") >= least)), "features")
     whole = by_side.where("feature = ''").first()
     vocabulary: dict[str, int] = {}
     for y in ys if whole else ():

@@ -434,3 +434,26 @@ def test_pipeline(spark):
         assert docs.columns == names
     scan = secrets.scanner().spans
     assert not [r for r in docs.collect() if scan(r["text"].encode())]
+
+
+def test_one_of_each_keeps_rows_apart(spark):
+    a, b, c = "one two three four five six", "other words that have nothing in common here", "a third text which is again something else"
+    rows = [(1, a), (2, a), (2, b), (5, c), (5, c), (None, a), (None, a), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, fp string, at int")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (5, c), (None, a), (None, a), (7, "")], key=str)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_toxicity_is_the_same_over_tasks(spark):
+    r = random.Random(31)
+    long = "w" * 40
+    texts = [" ".join([r.choice(["plain", "good", "word", "text"]) for _ in range(6)] + ([long + "bad", "awful"] if i % 4 == 0 else [long + "fine"])) for i in range(120)]
+    docs, labels = table(spark, texts), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    chains = [toxicity.learn(docs, labels, {"toxic": F.expr("toxic = 1")}, least=8, tasks=n) for n in (1, 8, 32)]
+    assert "=" + long + "bad" in chains[0].vocabulary and "=" + long + "fine" in chains[0].vocabulary
+    for chain in chains[1:]:
+        assert chain.vocabulary == chains[0].vocabulary
+        for (b1, w1, e1), (b2, w2, e2) in zip(chain.models, chains[0].models, strict=True):
+            assert b1 == b2 and (w1 == w2).all() and (e1 == e2).all()
