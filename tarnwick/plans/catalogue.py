@@ -48,13 +48,13 @@ HOURS = """hours as (
   select l_orderkey, l_linenumber, cast(l_quantity as int) ordinal, cast(l_partkey % 8 + 1 as int) grade, l_suppkey % 11 = 0 holiday,
          l_returnflag = 'R' critical, l_linestatus = 'O' night, l_partkey % 5 = 0 allowance from lineitem),
 premiums as (
-  select *, case when holiday and ordinal > 48 then 1.75 when holiday then 2.0
+  select *, case when holiday then 2.0
       when grade >= 5 and ordinal > 40 and critical then case when ordinal > 48 then 1.5 else 1.25 end
       when grade >= 5 and ordinal > 40 then 0 when ordinal > 48 then 1.5 when ordinal > 40 then 1.25 else 0 end multiplier,
     case when allowance or not night then 0 else 0.15 end night_premium, grade >= 5 and ordinal > 40 and not critical toil from hours)"""
 
 
-@query(f"with {HOURS} select l_orderkey, l_linenumber, cast(multiplier as double) multiplier, cast(multiplier + night_premium as double) total_rate, toil, cast(null as varchar) err from premiums")
+@query(f"with {HOURS} select l_orderkey, l_linenumber, cast(multiplier as double) multiplier, cast(case when ordinal > 40 then multiplier when multiplier > 1 then multiplier - 1 else 0 end + night_premium as double) total_rate, toil, cast(null as varchar) err from premiums")
 def hour_premium(spark, sf_dir):
     out = apply(library.HOUR_PREMIUM, hour_facts(spark, sf_dir))
     return out.select("l_orderkey", "l_linenumber", F.col("multiplier").cast("double").alias("multiplier"), F.col("total_rate").cast("double").alias("total_rate"), "toil", "err")

@@ -25,10 +25,14 @@ SERVICE_CREDIT = Scope(
     ("availability >= 0 and availability <= 100", "arrears_days >= 0"),
 )
 
-#: Premium for an hour of work: a chain of seven, a night premium and time off in lieu.
+#: Premium for an hour of work: a chain of seven, a night premium and time off in lieu. Salary already pays an hour up
+#: to the 40th once, so only what the multiple adds to that is payable. The rates and the hours.
 HOUR_PREMIUM = Scope(
     "hour_premium",
-    {"multiplier": "decimal(9,4)", "night_premium": "decimal(9,4)", "total_rate": "decimal(9,4)", "toil": "boolean"},
+    {
+        "multiplier": "decimal(9,4)", "salaried": "decimal(9,4)", "payable": "decimal(9,4)", "night_premium": "decimal(9,4)",
+        "total_rate": "decimal(9,4)", "toil": "boolean",
+    },
     (
         D("multiplier", "0.00", label="ordinary"),
         D("multiplier", "1.25", "ordinal > 40", "over_40", "ordinary"),
@@ -36,14 +40,16 @@ HOUR_PREMIUM = Scope(
         D("multiplier", "0.00", "grade >= 5 and ordinal > 40", "senior", "over_48"),
         D("multiplier", "case when ordinal > 48 then 1.50 else 1.25 end", "grade >= 5 and ordinal > 40 and critical", "critical", "senior"),
         D("multiplier", "2.00", "holiday", "holiday", "critical"),
-        D("multiplier", "1.75", "holiday and ordinal > 48", "late_holiday", "holiday"),
+        D("multiplier", "greatest(2.00, 1.50 + 0.25)", "holiday and ordinal > 48", "late_holiday", "holiday"),
+        D("salaried", "case when ordinal > 40 then 0.00 else 1.00 end"),
+        D("payable", "greatest(multiplier - salaried, 0.00)"),
         D("night_premium", "case when night then 0.15 else 0.00 end", label="night"),
         D("night_premium", "0.00", "allowance", "allowance", "night"),
-        D("total_rate", "multiplier + night_premium"),
+        D("total_rate", "payable + night_premium"),
         D("toil", "true", "grade >= 5 and ordinal > 40", "toil_senior"),
         D("toil", "false", "grade >= 5 and ordinal > 40 and critical", "toil_critical", "toil_senior"),
     ),
-    ("ordinal >= 1", "grade >= 1"),
+    ("ordinal >= 1 and ordinal <= 168", "grade >= 1"),
     conditions=frozenset({"toil"}),
 )
 

@@ -91,7 +91,7 @@ _KINDS = ("employee", "contract", "financial", "marketing", "security", "candida
   case when k % 2 = 0 then d + (k % 700)::int end renewed, k % 4 < 2 statutory, (60 + k % 25)::int n_months, {list(_KINDS)}[k % 6 + 1] kind from orders),
 g as (select *, (d + to_months(n_months))::date s, case when day((d + to_months(n_months))::date) < day(d) then (d + to_months(n_months))::date + 1 else (d + to_months(n_months))::date end s_up, (d + interval 72 month)::date six from f)
 select k o_orderkey, kind, (case kind when 'employee' then case when statutory and s > six then greatest(six, s_up) else six end when 'marketing' then (greatest(d, engaged) + interval 24 month)::date
-  when 'security' then (d + interval 13 month)::date when 'candidate' then case when consented is not null then (coalesce(renewed, consented) + interval 24 month)::date else (d + interval 12 month)::date end
+  when 'security' then (d + interval 13 month)::date when 'candidate' then case when consented is not null then (greatest(consented, renewed) + interval 24 month)::date else (d + interval 12 month)::date end
   else (d + interval 84 month)::date end)::varchar until from g""")
 def retention(spark, sf_dir):
     orders, k, day = _order_dates(spark, sf_dir)

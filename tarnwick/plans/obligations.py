@@ -122,7 +122,7 @@ RETENTION = Scope(
         D("until", down("greatest(started, engaged)", 24), "kind = 'marketing'", "marketing"),
         D("until", down("started", 13), "kind = 'security'", "security"),
         D("until", down("started", 12), "kind = 'candidate'", "candidate"),
-        D("until", down("coalesce(array_max(renewals), consented)", 24), "kind = 'candidate' and consented is not null", "talent_pool", "candidate"),
+        D("until", down("greatest(consented, array_max(renewals))", 24), "kind = 'candidate' and consented is not null", "talent_pool", "candidate"),
         D("until", f"greatest({down('started', 72)}, {up('started', 'statutory_months')})", f"kind = 'employee' and statutory and {down('started', 'statutory_months')} > {down('started', 72)}", "statutory", "employee"),
     ),
 )

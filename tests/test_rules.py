@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import lists, scalars
 from tarnwick.operators import surface
+from tarnwick.plans import library, obligations
 from tarnwick.plans.rules import CONFLICT, REFUSED, SILENT, Scope, apply
 from tarnwick.plans.rules import Definition as D
 
@@ -102,3 +103,31 @@ def test_watch_is_a_stream(spark, tmp_path):
         q.stop()
     got = {r["key"]: r["status"] for r in spark.read.parquet(str(tmp_path / "state" / "v=1")).collect()}
     assert got == {"a": "baseline", "b": "pending", "c": "pending"}
+
+
+@pytest.mark.parametrize(
+    "facts,rates",
+    [
+        (dict(ordinal=10, grade=1, holiday=True), ("2.0", "1.0", "1.0")),  # salary has paid one of the two already
+        (dict(ordinal=10, grade=1), ("0", "0", "0")),
+        (dict(ordinal=45, grade=1, night=True), ("1.25", "1.25", "1.40")),
+        (dict(ordinal=49, grade=1, holiday=True), ("2.0", "2.0", "2.0")),  # the greater of 2 and 1.75
+        (dict(ordinal=49, grade=6), ("0", "0", "0")),
+        (dict(ordinal=49, grade=6, critical=True, night=True, allowance=True), ("1.5", "1.5", "1.5")),
+    ],
+)
+def test_hour_premium(spark, facts, rates):
+    out = outcome(spark, library.HOUR_PREMIUM, **{**dict.fromkeys(("holiday", "critical", "night", "allowance"), False), **facts})
+    assert (out["multiplier"], out["payable"], out["total_rate"]) == tuple(map(Decimal, rates)) and out["err"] is None
+
+
+def test_a_week_has_168_hours(spark):
+    marks = dict.fromkeys(("holiday", "critical", "night", "allowance"), False)
+    assert [outcome(spark, library.HOUR_PREMIUM, ordinal=n, grade=1, **marks)["err"] for n in (0, 168, 169, 200)] == [REFUSED, None, REFUSED, REFUSED]
+
+
+def test_retention_runs_from_the_later_of_consent_and_renewal(spark):
+    rows = [("a", date(2021, 6, 1), [date(2021, 1, 1)]), ("b", date(2021, 6, 1), [date(2022, 2, 1), date(2021, 9, 1)]), ("c", date(2021, 6, 1), []), ("d", None, [])]
+    facts = spark.createDataFrame(rows, "k string, consented date, renewals array<date>").selectExpr("*", "'candidate' kind", "date'2020-01-31' started", "cast(null as date) engaged", "false statutory", "0 statutory_months")
+    got = {r["k"]: r["until"] for r in apply(obligations.RETENTION, facts).collect()}
+    assert got == {"a": date(2023, 6, 1), "b": date(2024, 2, 1), "c": date(2023, 6, 1), "d": date(2021, 1, 31)}
