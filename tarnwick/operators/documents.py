@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -9,16 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Signs that a rule can be computed, with their weights, and words that need a judgement.
-SIGNALS = (
-    ("money", r"(?i)(?:£|\$|€|GBP|USD|EUR)\s?[\d,]+(?:\.\d+)?", 2),
-    ("percent", r"\d+(?:\.\d+)?\s?%", 2),
-    ("multiplier", r"(?i)\b\d+(?:\.\d+)?\s+times\b", 2),
-    ("duration", r"(?i)\b\d+\s+(?:day|days|month|months|year|years|week|weeks|hour|hours|minute|minutes)\b", 1),
-)
-NUMBER = r"\b\d+(?:\.\d+)?\b"
-JUDGEMENT = r"(?i)\b(?:reasonabl\w+|good reason|judgement|materially|discretion\w*|adequate|practicable|good faith)\b"
-
+from tarnwick.operators import wording
 
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -30,11 +22,29 @@ def content_hash(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Plain quotes, dashes and spaces, joined hyphenation, single spaces, at most one empty line."""
-    plain = F.translate(text, "‘’“”–— ", "''\"\"-- ")
-    for pattern, by in ((r"(\w)-\n(\w)", "$1$2"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
-        plain = F.regexp_replace(plain, pattern, by)
-    return F.trim(plain)
+    """Plain quotes, spaces and letters, dashes by their length, lines without margins but for an indent of four spaces at
+    most, single spaces, at most one empty line, none at the ends. Applying it again changes nothing; null stays null."""
+    for old, new in wording.BREAKS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    single = wording.CHARACTERS | dict.fromkeys(wording.SPACES, " ")
+    text = F.translate(text, "".join([*single, *wording.INVISIBLE]), "".join(single.values()))
+    for old, new in (*wording.LIGATURES.items(), ("\f", "\n\n")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    margin = f"[{wording.MARGIN}]"
+    for pattern, by in (
+        (rf"{margin}+(?=\n|\z)", ""),
+        (rf"(?md)^( {{0,4}}){margin}*", "$1"),
+        (r"(?<=[^\n ]) {2,}", " "),
+        (r"\n{3,}", "\n\n"),
+        (r"\A\n+|\n+\z", ""),
+    ):
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def rejoined(text: Column) -> Column:
+    """Words that a line's end cut at a hyphen, whole again; hyphens before a capital or a digit stay."""
+    return F.regexp_replace(text, r"([A-Za-z]{2,})-\n([a-z]{2,})", "$1$2")
 
 
 def furniture(docs: DataFrame, times: int = 3, chars: int = 80, words: int = 12) -> DataFrame:
@@ -45,79 +55,107 @@ def furniture(docs: DataFrame, times: int = 3, chars: int = 80, words: int = 12)
 
 
 def triage(text: Column) -> dict[str, Column]:
-    """score and label (RULE, HYBRID or PROSE): whether a passage can be computed, needs a judgement, or both."""
-    score = sum((F.regexp_count(text, F.lit(p)) * w for _, p, w in SIGNALS), F.lit(0)) + F.least(F.regexp_count(text, F.lit(NUMBER)), F.lit(4))
-    judged = F.regexp_count(text, F.lit(JUDGEMENT)) > 0
-    label = F.when((score >= 4) & judged, "HYBRID").when(score >= 6, "RULE").when((score >= 3) & ~judged, "RULE").otherwise("PROSE")
+    """score and label (RULE, HYBRID or PROSE): whether a passage can be computed, needs a judgement, or both. Boilerplate
+    and definitions without figures are prose. Null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    found = lambda pattern, flags="(?iU)": F.regexp_count(text, F.lit(flags + pattern))
+    score = sum((found(p) * w for _, p, w in wording.SIGNS), F.lit(0)) + F.least(found(wording.NUMBER), F.lit(4))
+    judged, boilerplate = found(wording.any_of(wording.JUDGED)) > 0, found(wording.any_of(wording.PROSE)) > 0
+    defines = F.regexp_replace(text, r"(?U)^\s+", "").rlike("(?U)" + wording.DEFINES)
+    label = (
+        F.when(boilerplate & (score < 6), "PROSE")
+        .when((score >= 4) & judged, "HYBRID")
+        .when((score >= 4) | ((score == 3) & ~judged & ~defines), "RULE")
+        .otherwise("PROSE")
+    )
     return {"score": score, "label": label}
 
 
-def plan_scan(state: DataFrame, seen: DataFrame, first: bool = False) -> DataFrame:
-    """The states (key, fingerprint, status) after a scan (key, fingerprint): new and changed documents are pending
-    (baseline if it is the first scan), ones that are gone removed, others keep their status."""
-    s, n = state.select("key", F.col("fingerprint").alias("had"), "status"), seen.select("key", F.col("fingerprint").alias("has"))
+def after_scan(state: DataFrame, seen: DataFrame, first: bool = False) -> DataFrame:
+    """The states (key, fingerprint, status, removed_from) after a scan (key, fingerprint, and error if documents can be
+    unreadable). New and changed documents are pending (baseline if it is the first scan, unreadable if they have an
+    error), ones that are gone removed, others keep their status. One that returns unchanged takes up the status it went
+    from, pending if that isn't known or its check was under way. Fingerprints that are both null are equal; a null key
+    meets no other and counts as new or gone. A key must not repeat on one side."""
+    none = F.lit(None).cast("string")
+    s = state.select("key", F.col("fingerprint").alias("had"), "status", (F.col("removed_from") if "removed_from" in state.columns else none).alias("left"), F.lit(True).alias("known"))
+    n = seen.select("key", F.col("fingerprint").alias("has"), (F.col("error") if "error" in seen.columns else none).alias("error"), F.lit(True).alias("here"))
+    here, known, gone = F.col("here").isNotNull(), F.col("known").isNotNull(), F.col("status").eqNullSafe("removed")
+    same = known & F.col("had").eqNullSafe(F.col("has"))
+    resumed = F.when(F.col("left") == "checking", "pending").otherwise(F.coalesce("left", F.lit("pending")))
     status = (
-        F.when(F.col("has").isNull(), "removed")
-        .when(F.col("had").isNull(), "baseline" if first else "pending")
-        .when(F.col("had") != F.col("has"), "pending")
-        .when(F.col("status") == "removed", "pending")
-        .otherwise(F.col("status"))
+        F.when(~here, "removed")
+        .when(same & gone, resumed)
+        .when(same, F.col("status"))
+        .when(F.length("error") > 0, "unreadable")
+        .otherwise("baseline" if first else "pending")
     )
-    return s.join(n, "key", "full").select("key", F.coalesce("has", "had").alias("fingerprint"), status.alias("status"))
-
-
-#: Elements that begin a block, those whose text is dropped, and those that are page furniture.
-BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote", "pre", "section", "article", "td", "th", "br", "title"}
-DROPPED = {"script", "style", "noscript", "template"}
-FURNITURE = {"nav", "header", "footer", "aside"}
+    left = F.when(~here, F.when(gone, F.col("left")).otherwise(F.col("status")))
+    return s.join(n, "key", "full").select("key", F.when(here, F.col("has")).otherwise(F.col("had")).alias("fingerprint"), status.alias("status"), left.alias("removed_from"))
 
 
 class _Blocks(HTMLParser):
+    """Runs of text between the tags of blocks, with the level of the heading that they stand in (0: none)."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.tag, self.words, self.dropped, self.furniture = [], "", [], 0, 0
+        self.out, self.words, self.title = [], [], []
+        self.level = self.dropped = self.furniture = 0
+        self.titled = False
 
-    def flush(self, tag):
-        if text := " ".join("".join(self.words).split()):
-            self.out.append((self.tag, text, self.furniture > 0))
-        self.words, self.tag = [], tag
+    def cut(self, level=0):
+        text = "".join(self.words)
+        if text.strip():
+            kind = "heading" if self.level else "furniture" if self.furniture else "body"
+            self.out.append({"kind": kind, "level": self.level, "text": unescape(text)})
+        self.words, self.level = [], level
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS or tag in FURNITURE:
-            self.flush(tag)
-        self.dropped += tag in DROPPED
-        self.furniture += tag in FURNITURE
+        if tag in wording.FURNITURE:
+            self.cut()
+            self.furniture += 1
+        if tag in wording.BLOCKS:
+            self.cut(int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0)
+        self.dropped += tag in wording.DROPPED
+        self.titled |= tag == "title"
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS or tag in FURNITURE:
-            self.flush("")
-        if tag in DROPPED and self.dropped:
-            self.dropped -= 1
-        if tag in FURNITURE and self.furniture:
-            self.furniture -= 1
+        if tag in wording.BLOCKS or tag in wording.FURNITURE:
+            self.cut()
+        self.furniture = max(0, self.furniture - (tag in wording.FURNITURE))
+        self.dropped = max(0, self.dropped - (tag in wording.DROPPED))
+        self.titled &= tag != "title"
 
     def handle_data(self, data):
-        if not self.dropped:
+        if self.titled:
+            self.title.append(data)
+        elif not self.dropped:
             self.words.append(data)
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, block (from 0), tag, text and furniture (inside navigation, header, footer or aside) of each page's
-    blocks of text; white space is collapsed. Null pages have none."""
+    """page_id, title, block (from 1), kind (heading, body or furniture: inside navigation, footer or aside), level (of a
+    heading, else 0) and text (normalised, lines without margins) of each page's blocks of text. Null and empty pages
+    have none."""
+    block = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
 
     def each(batches):
         for rows in batches:
-            found = []
-            for page_id, html in zip(rows.column("page_id").to_pylist(), rows.column("html").to_pylist()):
+            titles, found = [], []
+            for html in rows.column("html").to_pylist():
                 parser = _Blocks()
                 parser.feed(html or "")
                 parser.close()
-                parser.flush("")
-                found += [(page_id, i, *b) for i, b in enumerate(parser.out)]
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["page_id", "block", "tag", "text", "furniture"])
-
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(each, "page_id long, block int, tag string, text string, furniture boolean")
+                parser.cut()
+                titles.append(unescape("".join(parser.title)))
+                found.append(parser.out)
+            yield pa.RecordBatch.from_arrays([rows.column("page_id"), pa.array(titles, pa.string()), pa.array(found, block)], names=["page_id", "title", "blocks"])
+
+    cut = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(each, "page_id long, title string, blocks array<struct<kind string, level int, text string>>")
+    plain = lambda b: F.struct(b["kind"].alias("kind"), b["level"].alias("level"), F.regexp_replace(normalised(b["text"]), r"(?md)^ +", "").alias("text"))
+    kept = F.filter(F.transform("blocks", plain), lambda b: b["text"] != "")
+    rows = cut.select("page_id", F.trim(normalised(F.col("title"))).alias("title"), F.posexplode(kept).alias("at", "b"))
+    return rows.select("page_id", "title", (F.col("at") + 1).alias("block"), "b.kind", "b.level", "b.text")
 
 
 def clauses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.operators import wording
+
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words and numbers; 98.50 and 98.5 are one."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|\d+(?:\.\d+)?"), F.lit(0))
-    plain = F.transform(found, lambda t: F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, r"0+$", ""), r"\.$", "")).otherwise(t))
-    return F.array_distinct(plain)
+    """Distinct lower-case words (with their apostrophes and hyphens) and numbers of two characters or more: 1,000 is 1000,
+    99.90% is 99.9, and 98.50 and 98.5 are one."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(wording.TOKEN), F.lit(0))
+    bare = F.transform(found, lambda t: F.replace(F.regexp_replace(t, r"[%.\-]+$", ""), F.lit(","), F.lit("")))
+    figure = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0*$", "")).otherwise(t)
+    return F.array_distinct(F.transform(F.filter(bare, lambda t: F.length(t) > 1), figure))
 
 
 def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:

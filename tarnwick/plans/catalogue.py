@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions import lists, scalars
-from tarnwick.operators import documents, retrieval, surface
+from tarnwick.operators import documents, retrieval, surface, wording
 from tarnwick.plans import contracts, expense_queries, library, obligation_queries, review_queries  # noqa: F401 (registers their queries)
 from tarnwick.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tarnwick.plans.rules import apply
@@ -223,33 +223,24 @@ def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", documents.content_hash(F.col("text")).alias("hash"))
 
 
-@query(r"""with s as (select doc_id, 2 * len(regexp_extract_all(text, '(?i)(?:£|\$|€|GBP|USD|EUR)\s?[\d,]+(?:\.\d+)?')) + 2 * len(regexp_extract_all(text, '\d+(?:\.\d+)?\s?%'))
-  + 2 * len(regexp_extract_all(text, '(?i)\b\d+(?:\.\d+)?\s+times\b')) + len(regexp_extract_all(text, '(?i)\b\d+\s+(?:day|days|month|months|year|years|week|weeks|hour|hours|minute|minutes)\b'))
-  + least(len(regexp_extract_all(text, '\b\d+(?:\.\d+)?\b')), 4) score,
-  regexp_matches(text, '(?i)\b(?:reasonabl\w+|good reason|judgement|materially|discretion\w*|adequate|practicable|good faith)\b') judged from documents)
-select doc_id, cast(score as int) score, case when score >= 4 and judged then 'HYBRID' when score >= 6 then 'RULE' when score >= 3 and not judged then 'RULE' else 'PROSE' end label from s""")
+COUNTED = " + ".join(f"{w} * len(regexp_extract_all(t, '(?i){p}'))" for _, p, w in wording.SIGNS)
+
+
+@query(rf"""with d as (select doc_id, coalesce(text, '') t from documents),
+s as (select doc_id, {COUNTED} + least(len(regexp_extract_all(t, '{wording.NUMBER}')), 4) score,
+  regexp_matches(t, '(?i){wording.any_of(wording.JUDGED)}') judged, regexp_matches(t, '(?i){wording.any_of(wording.PROSE)}') marked, regexp_matches(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '{wording.DEFINES}') defines from d)
+select doc_id, cast(score as int) score, case when marked and score < 6 then 'PROSE' when defines then case when score < 4 then 'PROSE' when judged then 'HYBRID' else 'RULE' end
+  when score >= 4 and judged then 'HYBRID' when score >= 6 then 'RULE' when score >= 3 and not judged then 'RULE' else 'PROSE' end label from s""")
 def triage(spark, sf_dir):
     t = documents.triage(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", t["score"].cast("int").alias("score"), t["label"].alias("label"))
 
 
-@query(r"""with d as (select doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+|\d+(?:\.\d+)?'), lambda t: case when contains(t, '.') then regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') else t end)) ts from documents),
-q as (select item_id query_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+|\d+(?:\.\d+)?'), lambda t: case when contains(t, '.') then regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') else t end)) ts from benchmark where item_id % 8 = 0),
-dt as (select doc_id, unnest(ts) t from d), qt as (select query_id, unnest(ts) t from q),
-df as (select t, count(*) c from dt group by 1),
-w as (select query_id, qt.t, case when c is null then ln(1.0 + (select count(*) from documents)) else ln(1 + (select count(*) from documents) / c) end idf from qt left join df on qt.t = df.t),
-s as (select query_id, doc_id, sum(idf) m from w join dt on w.t = dt.t group by 1, 2), tot as (select query_id, sum(idf) a from w group by 1),
-r as (select query_id, doc_id, round(m / a, 6) score from s join tot using (query_id))
-select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) rank from r qualify rank <= 5""")
-def lexical_search(spark, sf_dir):
-    """The five best documents for every eighth benchmark item."""
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 8 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = retrieval.lexical_scores(asked, table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
-    return retrieval.best(scores, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+LEXICAL = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z][a-z''-]*|\p{Nd}+(?:[.,]\p{Nd}+)*%?'), lambda t: replace(rtrim(t, '%.-'), ',', '')),
+  lambda t: length(t) >= 2), lambda t: case when contains(t, '.') then rtrim(rtrim(t, '0'), '.') else t end))"""
 
 
-@query(r"""with d as (select doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+|\d+(?:\.\d+)?'), lambda t: case when contains(t, '.') then regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') else t end)) ts from documents),
-q as (select item_id query_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+|\d+(?:\.\d+)?'), lambda t: case when contains(t, '.') then regexp_replace(regexp_replace(t, '0+$', ''), '\.$', '') else t end)) ts from benchmark),
+@query(f"""with d as (select doc_id, {LEXICAL} ts from documents), q as (select item_id query_id, {LEXICAL} ts from benchmark),
 dt as (select doc_id, unnest(ts) t from d), qt as (select query_id, unnest(ts) t from q),
 df as (select t, count(*) c from dt group by 1),
 w as (select query_id, qt.t, case when c is null then ln(1.0 + (select count(*) from documents)) else ln(1 + (select count(*) from documents) / c) end idf from qt left join df on qt.t = df.t),
@@ -263,17 +254,6 @@ def lexical_search_all(spark, sf_dir):
     return retrieval.best(scores, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
 
 
-@query("""with q as (select vec_id query_id, embedding::double[] e from embeddings where vec_id < 5),
-s as (select query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 6) score from q, embeddings v where v.vec_id <> query_id)
-select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s qualify rank <= 10""")
-def dense_search(spark, sf_dir):
-    """The ten nearest of all vectors to each of five stated ones, which go to every executor."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")))
-    scores = v.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("e"), F.col("embedding")), 6).alias("score"))
-    return retrieval.best(scores, "query_id", "vec_id", 10, -1.0).select("query_id", "vec_id", "score", "rank")
-
-
 @query("""with q as (select vec_id query_id, embedding::double[] e from embeddings where vec_id % 20 = 0),
 s as (select query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 6) score from q, embeddings v where v.vec_id <> query_id)
 select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s qualify rank <= 10""")
@@ -284,15 +264,35 @@ def dense_search_all(spark, sf_dir):
     return found.select("query_id", F.col("item_id").alias("vec_id"), "score", "rank")
 
 
-@query("""with o as (select doc_id k, case when doc_id % 7 = 0 then 'old' else md5(text) end had, case when doc_id % 5 = 0 then 'removed' else 'done' end status from documents where doc_id % 3 <> 0),
-n as (select doc_id k, md5(text) has from documents where doc_id % 4 <> 0)
-select coalesce(o.k, n.k) as "key", coalesce(has, had) fingerprint, case when has is null then 'removed' when had is null then 'pending' when had <> has then 'pending' when status = 'removed' then 'pending' else status end status
-from o full join n on o.k = n.k""")
+@query("""with o as (select doc_id k, case when doc_id % 7 = 0 then 'old' else md5(text) end had, case when doc_id % 5 = 0 then 'removed' else 'done' end status,
+  case when doc_id % 5 = 0 then case doc_id % 4 when 1 then 'checking' when 2 then 'done' when 3 then 'failed' end end went from documents where doc_id % 3 <> 0),
+n as (select doc_id k, md5(text) has, case when doc_id % 11 = 0 then 'no text' end error from documents where doc_id % 4 <> 0),
+b as (select coalesce(o.k, n.k) as "key", o.k is not null known, n.k is not null here, o.*, n.* from o full join n on o.k = n.k)
+select "key", case when here then has else had end fingerprint,
+  case when not here then 'removed' when known and had = has and status <> 'removed' then status when known and had = has and went in ('done', 'failed') then went
+    when known and had = has then 'pending' when error is not null then 'unreadable' else 'pending' end status,
+  case when not here and status = 'removed' then went when not here then status end removed_from from b""")
 def watch_plan(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.md5("text").alias("fingerprint"))
-    had = F.when(F.col("key") % 7 == 0, F.lit("old")).otherwise(F.col("fingerprint"))
-    state = d.where("key % 3 != 0").select("key", had.alias("fingerprint"), F.when(F.col("key") % 5 == 0, "removed").otherwise("done").alias("status"))
-    return documents.plan_scan(state, d.where("key % 4 != 0"))
+    had, gone = F.when(F.col("key") % 7 == 0, F.lit("old")).otherwise(F.col("fingerprint")), F.col("key") % 5 == 0
+    went = F.when(gone, F.expr("case key % 4 when 1 then 'checking' when 2 then 'done' when 3 then 'failed' end"))
+    state = d.where("key % 3 != 0").select("key", had.alias("fingerprint"), F.when(gone, "removed").otherwise("done").alias("status"), went.alias("removed_from"))
+    return documents.after_scan(state, d.where("key % 4 != 0").withColumn("error", F.when(F.col("key") % 11 == 0, "no text")))
+
+
+@query(r"""with a as (select doc_id, replace(replace(replace(replace(replace(text, chr(8230), '...'), chr(8232), chr(10)), chr(8233), chr(10) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) t from documents),
+c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\x{2018}-\x{201b}\x{2032}]', chr(39), 'g'), '[\x{201c}-\x{201f}\x{2033}]', '"', 'g'), '[\x{2010}\x{2011}\x{2212}]', '-', 'g'), '[\x{00ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g') t from a),
+e as (select doc_id, replace(replace(regexp_replace(t, '[\x{00a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\t]', ' ', 'g'), chr(8210), chr(8211)), chr(8213), chr(8212)) t from c),
+g as (select doc_id, replace(replace(replace(replace(replace(replace(replace(replace(t, chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'), chr(64261), 'st'), chr(64262), 'st'), chr(12), chr(10) || chr(10)) t from e),
+k as (select doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[ \v\x1c-\x1f\x{85}]+$', '')) ls from g),
+m as (select doc_id, array_to_string(list_transform(ls, lambda x: repeat(' ', least(length(x) - length(ltrim(x, ' ')), 4)::int) || regexp_replace(regexp_replace(x, '^[ \v\x1c-\x1f\x{85}]+', ''), ' {2,}', ' ', 'g')), chr(10)) t from k),
+o as (select doc_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) t from m),
+r as (select doc_id, t, regexp_replace(t, '([A-Za-z]{2,})-\n([a-z]{2,})', '\1\2', 'g') whole from o)
+select doc_id, cast(length(t) as int) n_chars, sha256(t) hash, sha256(whole) whole_hash from r""")
+def plain_texts(spark, sf_dir):
+    """Each whole text normalised, as a hash, and the same with words whole that a line's end cut."""
+    t = documents.normalised(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("n_chars"), F.sha2(t, 256).alias("hash"), F.sha2(documents.rejoined(t), 256).alias("whole_hash"))
 
 
 @query("""select event_type, time_bucket(interval 1 hour, ts) as "start", count(*) n, sum(value) total from events group by all""")

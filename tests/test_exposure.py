@@ -6,12 +6,6 @@ from tarnwick.operators import documents, exposure, surface
 from tarnwick.plans import library
 
 
-def test_html_blocks(spark):
-    pages = spark.createDataFrame([(1, "<nav>Home</nav><h1>A &amp; B</h1><p>One <b>two</b>\n three<script>x()</script></p>"), (2, None)], "page_id long, html string")
-    got = [tuple(r) for r in documents.html_blocks(pages).orderBy("page_id", "block").collect()]
-    assert got == [(1, 0, "nav", "Home", True), (1, 1, "h1", "A & B", False), (1, 2, "p", "One two three", False)]
-
-
 def test_clauses(spark):
     text = "intro\n## C-4 Pay\n**C-4.1** First\nmore\n\nC-4.2 Second\n## C-5 Leave\nloose\nC-5.1 Third"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
