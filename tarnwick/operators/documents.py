@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,18 +59,30 @@ def furniture(docs: DataFrame, times: int = 3, chars: int = 80, words: int = 12)
 def triage(text: Column) -> dict[str, Column]:
     """score and label (RULE, HYBRID or PROSE): whether a passage can be computed, needs a judgement, or both. Boilerplate
     and definitions without figures are prose. Null is the empty text."""
+    count = lambda t, pattern: F.regexp_count(t, F.lit("(?U)" + pattern.lower()))
+    hinted = lambda t, pattern: reduce(or_, (F.contains(t, F.lit(h)) for h in wording.HINTS[pattern]))  # noqa: E731, cheap
+    found = lambda t, pattern: F.when(hinted(t, pattern), count(t, pattern)).otherwise(0)
+    said = lambda t, phrases: hinted(t, wording.any_of(phrases)) & t.rlike("(?U)" + wording.any_of(phrases))
+
+    def signs(t):
+        score = sum((found(t, p) * w for p, w in wording.SIGNS), F.lit(0)) + F.least(count(t, wording.NUMBER), F.lit(4))
+        return F.struct(score.alias("score"), said(t, wording.JUDGED).alias("judged"), said(t, wording.PROSE).alias("boilerplate"))
+
     text = F.coalesce(text, F.lit(""))
-    found = lambda pattern, flags="(?iU)": F.regexp_count(text, F.lit(flags + pattern))
-    score = sum((found(p) * w for _, p, w in wording.SIGNS), F.lit(0)) + F.least(found(wording.NUMBER), F.lit(4))
-    judged, boilerplate = found(wording.any_of(wording.JUDGED)) > 0, found(wording.any_of(wording.PROSE)) > 0
     defines = F.regexp_replace(text, r"(?U)^\s+", "").rlike("(?U)" + wording.DEFINES)
-    label = (
-        F.when(boilerplate & (score < 6), "PROSE")
-        .when((score >= 4) & judged, "HYBRID")
-        .when((score >= 4) | ((score == 3) & ~judged & ~defines), "RULE")
-        .otherwise("PROSE")
-    )
-    return {"score": score, "label": label}
+
+    def decided(s):
+        label = (
+            F.when(s["boilerplate"] & (s["score"] < 6), "PROSE")
+            .when((s["score"] >= 4) & s["judged"], "HYBRID")
+            .when((s["score"] >= 4) | ((s["score"] == 3) & ~s["judged"] & ~defines), "RULE")
+            .otherwise("PROSE")
+        )
+        return F.struct(s["score"].alias("score"), label.alias("label"))
+
+    # Lambdas, so that the lower-case text is made and its signs are counted once.
+    out = F.transform(F.transform(F.array(F.lower(text)), signs), decided)[0]
+    return {"score": out["score"], "label": out["label"]}
 
 
 def after_scan(state: DataFrame, seen: DataFrame, first: bool = False) -> DataFrame:

@@ -1,5 +1,7 @@
 """Fixed values that decide how texts are read: characters, signs of computable rules and words that need a judgement."""
 
+import re
+
 # Typographic variants and what they are read as. Dashes keep their length; spaces become a space,
 # invisible characters nothing, ligatures their letters.
 CHARACTERS = {
@@ -69,8 +71,19 @@ def any_of(phrases: tuple[str, ...]) -> str:
     return rf"\b(?:{'|'.join(phrases)})\b"
 
 
-#: Name, pattern (letters in either case) and weight of each sign.
-SIGNS = (
-    ("money", MONEY, 2), ("percent", PERCENT, 2), ("multiplier", MULTIPLIER, 2), ("duration", DURATION, 1),
-    ("threshold", any_of(THRESHOLDS), 2), ("computed", any_of(COMPUTED), 2), ("entitled", any_of(ENTITLED), 2),
-)
+#: Pattern (letters in either case) and weight of each sign.
+SIGNS = ((MONEY, 2), (PERCENT, 2), (MULTIPLIER, 2), (DURATION, 1), (any_of(THRESHOLDS), 2), (any_of(COMPUTED), 2), (any_of(ENTITLED), 2))
+
+
+def stems(phrases: tuple[str, ...]) -> list[str]:
+    """The plain begin of each phrase, without a last letter that can be missing: what a text must hold to have it."""
+    return sorted({re.match(r"(?:[a-z -](?!\?))+", p)[0] for p in phrases})
+
+
+#: What a lower-case text must hold one of to match the pattern.
+HINTS = {
+    MONEY: ["£", "$", "€", "gbp", "usd", "eur"],
+    PERCENT: ["%"],
+    MULTIPLIER: ["times"],
+    DURATION: ["day", "month", "year", "week", "hour", "minute"],
+} | {any_of(p): stems(p) for p in (THRESHOLDS, COMPUTED, ENTITLED, JUDGED, PROSE)}

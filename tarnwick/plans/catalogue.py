@@ -223,7 +223,7 @@ def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", documents.content_hash(F.col("text")).alias("hash"))
 
 
-COUNTED = " + ".join(f"{w} * len(regexp_extract_all(t, '(?i){p}'))" for _, p, w in wording.SIGNS)
+COUNTED = " + ".join(f"{w} * len(regexp_extract_all(t, '(?i){p}'))" for p, w in wording.SIGNS)
 
 
 @query(rf"""with d as (select doc_id, coalesce(text, '') t from documents),
