@@ -17,9 +17,7 @@ import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
-from collections.abc import Iterator
 
-import numpy as np
 import numpy as np
 import pyarrow as pa
 import regex

@@ -1,8 +1,8 @@
 """Ids of many texts at once: equal stretches between spaces are encoded once, and ids are gathered by arrays.
 
 A batch of texts is split at its spaces and told apart by Arrow, so that no Python object is made for a stretch that
-occurs again. A bounded cache holds the ids of stretches in one array; those that it lacks are cut into pieces and
-encoded many at a time. A cut before a space is exact unless white space lies on both sides of it: there, stretches are
+occurs again. A bounded cache holds the ids of short stretches in one array; those that it lacks are cut into pieces and
+encoded many at a time. Long ones are encoded where they occur and not kept. A cut before a space is exact unless white space lies on both sides of it: there, stretches are
 joined to one before they're looked up.
 """
 
@@ -121,13 +121,14 @@ def points_of(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
-#: Random numbers for each place and byte, for two sums of 64 bits each.
-_PLACES = 1024
-_RANDOM = np.random.default_rng(20).integers(0, 1 << 64, (2, _PLACES * 256), np.uint64)
+#: Bytes of the longest unit that is remembered; and random numbers for each place and byte, for two sums of 64 bits.
+KEPT = 4 * LONGEST
+_RANDOM = np.random.default_rng(20).integers(0, 1 << 64, (2, (KEPT + 1) * 256), np.uint64)
 
 
 def digests(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """128 random bits of each run of bytes: two rows of 64. Different runs agree with a chance of 1 in 2^128."""
+    """128 random bits of each run of at most KEPT + 1 bytes: two rows of 64. Each place and byte has numbers of its own,
+    so that different runs agree with a chance of 1 in 2^128."""
     out = np.zeros((2, len(at)), np.uint64)
     some = np.flatnonzero(length)
     if len(some):
@@ -136,20 +137,33 @@ def digests(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         first = ends - n
         place = np.arange(ends[-1]) - np.repeat(first, n)
         byte = data if len(data) == ends[-1] else data[place + np.repeat(at[some], n)]
-        key = (place % _PLACES) * 256 + byte if n.max() > _PLACES else place * 256 + byte
-        times = (2 * (place // _PLACES) + 1).astype(np.uint64) if n.max() > _PLACES else None
+        key = place * 256 + byte
         for k in (0, 1):
-            v = _RANDOM[k][key]
-            out[k, some] = np.add.reduceat(v if times is None else v * times, first)
+            out[k, some] = np.add.reduceat(_RANDOM[k][key], first)
     return out
 
 
+class Loose:
+    """Ids of units that are too long to be remembered, for as long as a slice needs them. Their places are told from
+    those of remembered ones by ``FROM``."""
+
+    FROM = 1 << 40
+
+    def __init__(self):
+        self.ids, self.length, self.flags = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def add(self, ids: np.ndarray, length: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        n = len(self.length)
+        self.ids, self.length, self.flags = np.concatenate([self.ids, ids]), np.concatenate([self.length, length]), np.concatenate([self.flags, flags])
+        return self.FROM + np.arange(n, len(self.length))
+
+
 class Known:
     """A bounded store of ids by the digests of what they encode, and of flags. Full, it forgets what hasn't been asked
-    for since it last was."""
+    for since it last was. ``bound``: entries; ``ids_bound``: ids of all of them."""
 
-    def __init__(self, bound: int):
-        self.bound, self.bits = bound, int(bound * 2.5).bit_length()
+    def __init__(self, bound: int, ids_bound: int | None = None):
+        self.bound, self.ids_bound, self.bits = bound, ids_bound or 8 * bound, int(bound * 2.5).bit_length()
         self._empty()
 
     def _empty(self) -> None:
@@ -206,10 +220,10 @@ class Known:
 
     def forget(self) -> None:
         """If it's full. Places change."""
-        if self.n <= self.bound:
+        if self.n <= self.bound and self.used_ids <= self.ids_bound:
             return
         kept = np.flatnonzero(self.asked[: self.n])
-        if len(kept) > 0.7 * self.bound:
+        if len(kept) > 0.7 * self.bound or self.length[kept].sum(dtype=np.int64) > 0.7 * self.ids_bound:
             kept = kept[:0]
         key, length, flags, ids = self.key[:, kept], self.length[kept], self.flags[kept], self.ids[spread(self.at[kept], self.length[kept])]
         self._empty()
@@ -226,11 +240,17 @@ class Stretches:
     def __init__(self, merge, one, table: np.ndarray, spaces: bool, special: tuple[str, ...] = (), normal=None, bound: int = 1_000_000):
         self.merge, self.one, self.table, self.spaces, self.special, self.normal = merge, one, table, spaces, special, normal
         self.blanks = frozenset(map(chr, np.flatnonzero(table == SPACE)))
-        self.units, self.pieces = Known(bound), Known(bound // 2)
+        self.units, self.pieces, self.loose = Known(bound), Known(bound // 2), Loose()
 
     def _places(self, words: pa.Array, bare: bool = False) -> np.ndarray:
         """Where different units are known; bare ones have no space before them."""
         data, at = raw(words)
+        long = np.diff(at) > KEPT
+        if long.any():
+            place, some = np.empty(len(words), np.int64), np.flatnonzero(~long)
+            place[some] = self._places(words.take(pa.array(some)), bare)
+            place[long] = self.loose.add(*self._learn(words.take(pa.array(np.flatnonzero(long))), bare))
+            return place
         key = digests(data, at[:-1], np.diff(at))
         key[0] ^= np.uint64(bare)
         place = self.units.find(key)
@@ -239,6 +259,22 @@ class Stretches:
             place[new] = self.units.add(key[:, new], *self._learn(words.take(pa.array(new)), bare))
         return place
 
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of places, one after the other, their number, and flags."""
+        loose = place >= Loose.FROM
+        if not loose.any():
+            length = self.units.length[place]
+            return self.units.ids[spread(self.units.at[place], length)], length, self.units.flags[place]
+        kept, lost = place[~loose], place[loose] - Loose.FROM
+        length, flags = np.empty(len(place), np.int64), np.empty(len(place), np.uint8)
+        length[~loose], length[loose] = self.units.length[kept], self.loose.length[lost]
+        flags[~loose], flags[loose] = self.units.flags[kept], self.loose.flags[lost]
+        first, begins = np.cumsum(length) - length, np.cumsum(self.loose.length) - self.loose.length
+        ids = np.empty(int(length.sum()), np.uint32)
+        ids[spread(first[~loose], length[~loose])] = self.units.ids[spread(self.units.at[kept], length[~loose])]
+        ids[spread(first[loose], length[loose])] = self.loose.ids[spread(begins[lost], length[loose])]
+        return ids, length, flags
+
     def _learn(self, words: pa.Array, bare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of units, their number, and flags."""
         data, at = raw(words)
@@ -318,7 +354,7 @@ class Stretches:
         told = pa.array(joined[1:], pa.large_string()).dictionary_encode()
         p = self._places(pa.array(joined[:1], pa.large_string()), True)
         p = np.concatenate([p, self._places(told.dictionary)[told.indices.to_numpy()]])
-        return self.units.ids[spread(self.units.at[p], self.units.length[p])]
+        return self._gather(p)[0]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of slices of a column of texts: where each begins, the ids of its texts, one after the other, and their number."""
@@ -333,18 +369,21 @@ class Stretches:
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self.units.forget()
         self.pieces.forget()
+        self.loose = Loose()
         lists = pc.split_pattern(texts, " ")
         flat, first = lists.flatten(), lists.offsets.to_numpy()
         first = first - first[0]
-        told = flat.dictionary_encode()
-        index, place = told.indices.to_numpy(), self._places(told.dictionary)
+        spaced = np.ones(len(flat), bool)
+        if self.spaces:  # a text's first stretch has no space before it
+            spaced[first[:-1]] = False
+        told = flat.filter(pa.array(spaced)).dictionary_encode()
+        place, index = self._places(told.dictionary), np.empty(len(flat), np.int32)
+        index[spaced] = told.indices.to_numpy()
         if self.spaces:
             bare = flat.take(pa.array(first[:-1])).dictionary_encode()
-            index = index.copy()
             index[first[:-1]] = len(place) + bare.indices.to_numpy()
             place = np.concatenate([place, self._places(bare.dictionary, True)])
-        length, flags = self.units.length[place], self.units.flags[place]
-        ids = self.units.ids[spread(self.units.at[place], length)]  # of what occurs here, near each other
+        ids, length, flags = self._gather(place)  # of what occurs here, near each other
         at = (np.cumsum(length) - length).astype(np.int32)
         n = length[index]
         count = np.add.reduceat(n, first[:-1], dtype=np.int64)

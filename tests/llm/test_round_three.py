@@ -8,10 +8,15 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tarnwick.llm import filter_audit, neighbours, queries, whitening
+from tarnwick.llm import bpe, filter_audit, licenses, neighbours, packing, queries, whitening
+from tarnwick.llm.library_tokens import LibraryEncoder
 
 DOCS = "doc_id long, text string, lang string, n int, good int, mask string, salt string"
 LABELS = "doc_id long, quality int, toxic int, n int"
@@ -204,3 +209,126 @@ def test_whitening_of_hard_tables(spark):
     assert len(same) == 6 and all(r["deviation"] == 0 and r["whitened"] is None and r["identity_error"] is None and r["explained"] == 0 for r in same)
     huge = whitening.whiten(vectors(spark, [(1, [1e300, 2.0]), (2, [-1e300, 5.0]), (3, [1e18, 2.5])])).collect()
     assert len(huge) == 6 and all(r["deviation"] is None for r in huge) and {r["whitened"] is None for r in huge} == {True, False}
+
+
+
+def long_stretches():
+    """Texts without spaces: permuted kilobytes (of letters, of CJK signs, of base64), and many that are new to a worker."""
+    r = random.Random(21)
+    texts = []
+    for signs, size in (("abcdefgh", 1024), ("\u4e00\u4e8c\u4e09\u56db\u4e94\u65e5\u6708", 342), ("ABCDabcd0123+/", 1024)):
+        x, y, z = ("".join(r.choice(signs) for _ in range(size)) for _ in range(3))
+        texts += [a + b + c + d for a, b, c, d in ((x, y, y, x), (y, x, x, y))] + [x + z + y, y + z + x, (x + y) * 8 + (y + x) * 8, (y + x) * 8 + (x + y) * 8]
+        texts += [f"{x} {y} and {x}{y}", f" {y}", f"{y} ", f"  {x}  {y}"]
+    return texts
+
+
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_long_stretches_of_library_tokens(name, spaces):
+    mine, whole, texts = LibraryEncoder(P.path(name), spaces, bound=100), Tokenizer.from_file(P.path(name)), long_stretches()
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    for columns in ([pa.array([t]) for t in texts], [pa.array(texts)], [pa.array(texts[::-1])[::-1]]):
+        got = [part.tolist() for c in columns for _, ids, n in mine.ended(c, 7) for part in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+
+
+def test_long_stretches_of_byte_bpe():
+    codec, texts = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), long_stretches()
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.rank, special_tokens={})
+    want = [plain.encode_ordinary(t) for t in texts]
+    for columns in ([pa.array([t]) for t in texts], [pa.array(texts)]):
+        got = [part.tolist() for c in columns for _, ids, n in codec.encode_many(c) for part in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+
+
+def test_store_of_stretches_is_bounded():
+    """In entries and in ids, whatever the texts; and every text has its ids."""
+    mine, r = LibraryEncoder(P.path("byte_bpe_50k.json"), True, bound=2_000), random.Random(22)
+    for _ in range(40):
+        texts = ["".join(r.choice("abcxyz\u4e00\u4e8c") for _ in range(r.choice([3, 90, 2000]))) for _ in range(60)]
+        assert sum(len(n) for _, _, n in mine.ended(pa.array(texts), 7)) == 60
+        texts = [" ".join("".join(r.choice("abcxyz\u4e00\u4e8c") for _ in range(60)) for _ in range(20)) for _ in range(20)]
+        assert sum(len(n) for _, _, n in mine.ended(pa.array(texts), 7)) == 20
+        for store in (mine.stretches.units, mine.stretches.pieces):
+            assert store.n <= store.bound + 2_000 and store.used_ids <= store.ids_bound + 120_000
+
+
+PASSAGE_LABELS = [label for label, _ in licenses.PASSAGES]
+
+
+def documents_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_each_license_passage_has_its_label(spark):
+    """Each passage alone, with words put in, and each after each other one: sister licenses don't answer for each other."""
+    r, texts, want = random.Random(23), [], []
+    for label, passage in licenses.PASSAGES:
+        w = passage.split()
+        k = len(w) // 2
+        for text in (passage, " ".join([*w[:k], "so", "to", "say", *w[k:]]), " ".join(["some", "words", *w, "more", "words"])):
+            texts.append(text)
+            want.append({label})
+    for a, one in licenses.PASSAGES:
+        for b, two in licenses.PASSAGES:
+            texts.append(f"{one} {' '.join(r.choice(['lorem', 'ipsum', 'dolor']) for _ in range(r.randint(0, 12)))} {two}")
+            want.append({a, b})
+    got = {x["doc_id"]: {*x["labels"].split(",")} for x in licenses.scan(documents_of(spark, texts)).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != want[i]] == []
+
+
+def test_license_passage_with_a_bracket(spark):
+    text = "This work is licensed under a Creative Commons Attribution 4.0 International License (CC BY 4.0 International License)"
+    one = licenses.scan(documents_of(spark, [text])).first()
+    assert (one["labels"], one["score"]) == ("cc-by", 1.0)
+
+
+def fewest_bins(sizes, capacity):
+    """By a search over all ways, for few sizes."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in sorted({x for x in rooms if x >= sizes[k]}):
+            rest = [*rooms]
+            rest[rest.index(room)] -= sizes[k]
+            put(k + 1, rest)
+        put(k + 1, [*rooms, capacity - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_exact():
+    example = [8, 11, 13, 14, 14, 15, 23, 24, 27, 30]
+    assert sum(n for _, n in packing.complete_bins(collections.Counter(example), 60, 100_000)) == 3
+    r = random.Random(24)
+    for _ in range(1000):
+        capacity = r.choice([20, 60, 100])
+        sizes = [r.randint(1, capacity * r.choice([2, 3, 5]) // 5) for _ in range(r.randint(1, 12 if r.random() < 0.7 else 20))]
+        plan = packing.complete_bins(collections.Counter(sizes), capacity, 100_000)
+        assert collections.Counter(s for f, n in plan for s in f * n) == collections.Counter(sizes) and all(sum(f) <= capacity for f, _ in plan)
+        bins = sum(n for _, n in plan)
+        if len(sizes) <= 12 or bins > packing.lower_bound(collections.Counter(sizes), capacity):
+            assert bins == fewest_bins(sizes, capacity)
+
+
+def test_undominated_fillings():
+    r = random.Random(25)
+    for _ in range(300):
+        room, counts = r.randint(1, 40), collections.Counter(r.randint(1, 25) for _ in range(r.randint(0, 8)))
+        items = sorted(counts.elements())
+        every = {tuple(sorted(c, reverse=True)) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room}
+
+        def beaten(f):
+            """A length that is left takes the place of a shorter one, or of none."""
+            left = collections.Counter(items) - collections.Counter(f)
+            return any(s < x <= s + room - sum(f) for s in {0, *f} for x in left)
+
+        got = list(packing.fillings(room, dict(counts)))
+        assert len(got) == len({*got}) and {*got} == {f for f in every if not beaten(f)}
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
