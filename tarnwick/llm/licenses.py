@@ -4,7 +4,9 @@ Every run of k words of every text meets, in a join on its hash and its words, t
 same run. A meeting votes for the difference of the two places: the diagonal on which the template would lie in the
 text. Votes are kept as the set of template places, so that copies of a row don't add to them. A diagonal with all of
 a phrase's places is an exact occurrence. For longer templates, diagonals that lie close by (words were put in or left
-out) become one candidate, which is verified by the share of the template's places that it holds and by its span.
+out) become one candidate, which is verified by the share of the template's places that it holds and by its span; if the
+span is too long, or the best of the diagonals holds as much by itself, that one is the candidate. Where passages that
+are found overlap, those with the greatest share give their labels, all of them if their shares are equal.
 
 Words are runs of characters that aren't ASCII signs or spaces, lower-cased in A-Z. Null and empty texts have no words
 and score 0. Rows are kept as often as they occur; null ids stay null; further columns are ignored.
@@ -71,7 +73,7 @@ def scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, slack: int = 8, sh
     """doc_id, n_words, n_base, first_word and last_word (of the phrases' places), base_labels, labels and score.
 
     ``slack``: words by which neighbouring diagonals may differ; ``share``: of a passage's places that must be found;
-    ``stretch``: how much longer than the passage its span may be.
+    ``stretch``: how much longer than the passage the span of several diagonals may be.
     """
     templates = template_rows(docs.sparkSession, phrases, passages)
     longest = max(len(t.split()) for _, t in (*phrases, *passages))
@@ -99,12 +101,23 @@ def scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, slack: int = 8, sh
     votes = votes.withColumn("new", new.cast("int"))
     votes = votes.withColumn("cluster", F.when(F.col("phrase"), F.col("diagonal")).otherwise(F.sum("new").over(by_template)))
     spans = votes.groupBy(*own, "t", "label", "phrase", "places", "cluster").agg(
-        F.max("n").alias("n"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"), *(F.bit_or(f"b{k}").alias(f"b{k}") for k in segments)
+        F.max("n").alias("n"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"), *(F.bit_or(f"b{k}").alias(f"b{k}") for k in segments),
+        F.max(F.struct(held.alias("held"), (-F.col("low")).alias("low"), "high")).alias("best"),
     )
-    part = held / F.col("places")
-    fits = F.col("high") - F.col("low") + 1 <= stretch * F.col("places")
     exact = F.col("phrase") & (held == F.col("places"))
-    found = exact | ~F.col("phrase") & (part >= share) & fits
+    # A candidate is its whole cluster, if that is short enough and holds more than the best of its diagonals, or that one.
+    fits = (F.col("high") - F.col("low") + 1 <= stretch * F.col("places")) & (held > F.col("best.held"))
+    part = F.when(fits, held).otherwise(F.col("best.held")) / F.col("places")
+    first, last = F.when(fits, F.col("low")).otherwise(-F.col("best.low")), F.when(fits, F.col("high")).otherwise(F.col("best.high"))
+    spans = spans.select(*own, "t", "label", "cluster", "n", "n_words", exact.alias("exact"), part.alias("part"), (~F.col("phrase") & (part >= share)).alias("passage"), first.alias("first"), last.alias("last"))
+    # Of passages that overlap, those of the greatest share are meant: sister licenses have most of their words in common.
+    reach = int(stretch * longest) + 1
+    near = Window.partitionBy(*own).orderBy("first").rangeBetween(-reach, reach)
+    others = F.collect_list(F.when(F.col("passage"), F.struct("part", "first", "last"))).over(near)
+    spans = spans.withColumn("others", F.when(F.col("passage"), others))
+    beaten = F.exists("others", lambda o: (o["part"] > F.col("part")) & (o["first"] <= F.col("last")) & (o["last"] >= F.col("first")))
+    exact, part = F.col("exact"), F.col("part")
+    found = exact | F.col("passage") & ~beaten
     one = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     out = spans.groupBy(*own).agg(
         F.max(F.when(F.col("t").isNull(), F.col("n"))).alias("copies"),
@@ -114,6 +127,6 @@ def scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, slack: int = 8, sh
         F.max(F.when(exact, F.col("cluster"))).cast("long").alias("last_word"),
         one(exact).alias("base_labels"),
         one(found).alias("labels"),
-        F.coalesce(F.max(F.when(fits, part.cast("double"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(part.cast("double")), F.lit(0.0)).alias("score"),
     )
     return out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_", "copies", "h")
