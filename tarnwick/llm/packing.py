@@ -8,7 +8,8 @@ then find their place by their rank among the pieces of their length, which each
 
 Bin completion: around the largest length left, enumerate the undominated fillings of the rest of the bin, take each
 in turn in order of waste, and drop a branch as soon as its waste exceeds what a better result could have. Best-fit
-decreasing is the first incumbent. A search budget bounds the nodes; no row is left out, for an incumbent packs all.
+decreasing is the first incumbent. A search that ends is exact; the one limit, ``nodes``, bounds the fillings that it
+tries. No row is left out, for an incumbent packs all.
 
 Null and empty texts hold the end id alone. Repeated rows are packed as often as they occur; null ids stay null;
 further columns are ignored; an empty table gives no rows.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,97 +96,113 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [(f, n) for f, n in out.items() if n]
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], width: int) -> list[Filling]:
-    """The fullest undominated fillings of a room, least waste first.
+def reachable(counts: dict[int, int], room: int) -> tuple[list[int], list[int]]:
+    """The lengths that fit, ascending, and for each number of them the sums up to ``room`` that they make, as bits."""
+    sizes, mask = sorted(s for s, n in counts.items() if n and s <= room), (1 << (room + 1)) - 1
+    sums = [1]
+    for s in sizes:
+        now, left, step = sums[-1], min(counts[s], room // s), 1
+        while left:  # 1, 2, 4, ... of a length and the rest make up every number of it
+            step = min(step, left)
+            now |= now << (s * step) & mask
+            left -= step
+            step *= 2
+        sums.append(now)
+    return sizes, sums
 
-    One length that fills the room dominates everything. Else the largest that fits dominates all single ones and all
-    that fit into its place; of two, each first has one best second; longer ones start with the largest that fit.
-    ``sizes``: ascending, those with a count.
+
+def fillings(room: int, counts: dict[int, int], most_waste: int | None = None) -> Iterator[Filling]:
+    """All undominated fillings of a room, least waste first, those with longer pieces before others.
+
+    A filling is dominated if a length that is left could take the place of one of its own, or of none: swapping the two
+    is no loss anywhere. Sums that can't be made are never entered, so that each filling costs a few steps only.
+    """
+    sizes, sums = reachable(counts, room)
+
+    def make(k: int, total: int) -> Iterator[Filling]:
+        if not total:
+            yield ()
+            return
+        while k and sizes[k - 1] > total:
+            k -= 1
+        if not k or not sums[k] >> total & 1:
+            return
+        s = sizes[k - 1]
+        for n in range(min(counts[s], total // s), -1, -1):
+            for rest in make(k - 1, total - n * s):
+                yield (s,) * n + rest
+
+    for waste in range(min(room, room if most_waste is None else most_waste) + 1):
+        if not sums[-1] >> (room - waste) & 1:
+            continue
+        for filling in make(len(sizes), room - waste):
+            held = Counter(filling)
+            if not any(s < x <= s + waste and counts[x] > held[x] for s in {0, *held} for x in sizes[bisect.bisect_right(sizes, s) : bisect.bisect_right(sizes, s + waste)]):
+                yield filling
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000) -> list[tuple[Filling, int]]:
+    """Fillings with the number of their bins: as few as can be, if the search ends within ``nodes``, the number of
+    fillings that it may try beyond the incumbent.
+
+    Around the largest length left every undominated filling is tried, for as many bins as its lengths allow and for one
+    bin, which leads to every number between. What is left is met again in many orders and is searched once only.
     """
-    k = bisect.bisect_right(sizes, room)
-    if not k:
-        return [()]
-    largest = sizes[k - 1]
-    if largest == room:
-        return [(largest,)]
-    found: dict[Filling, int] = {(largest,): room - largest}
-    fits = np.array(sizes[:k])
-    second = np.searchsorted(fits, np.minimum(room - fits, fits), "right") - 1
-    sums = np.where(second >= 0, fits + fits[second], 0)
-    for i in np.argsort(-sums, kind="stable")[: 2 * width]:
-        a, b = int(fits[i]), int(fits[second[i]])
-        if sums[i] > largest and (a != b or counts[a] > 1):
-            found[a, b] = room - a - b
-    if min(found.values()):
-        counts[largest] -= 1
-        rest = sizes[: bisect.bisect_right(sizes, room - largest)]
-        if rest and rest[-1] == largest and not counts[largest]:
-            rest.pop()
-        for more in fillings(room - largest, rest, counts, width) if rest else ():
-            f = (largest, *more)
-            found[f] = room - sum(f)
-        counts[largest] += 1
-    return sorted(found, key=lambda f: (found[f], len(f)))[:width]
-
-
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000, width: int = 4) -> list[tuple[Filling, int]]:
-    """Fillings with the number of their bins. ``nodes``: how many fillings the search may try beyond the incumbent;
-    ``width``: how many it tries around one largest length."""
     counts = {s: n for s, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     least, bins, total = lower_bound(counts, capacity), sum(n for _, n in incumbent), sum(s * n for s, n in counts.items())
     if bins == least:
         return incumbent
-    left, sizes, waste = dict(counts), sorted(counts), 0
+    left, waste, used = dict(counts), 0, 0
+    names = np.random.default_rng(6)
+    name = {s: int.from_bytes(names.bytes(16), "little") for s in counts}
+    state, seen = sum(name[s] * n for s, n in left.items()), {}
     #: Of each step of the branch at hand: its filling, its bins, what else to try there.
-    path: list[tuple[Filling, int, list[Filling]]] = []
+    path: list[tuple[Filling, int, Iterator]] = []
 
-    def options() -> list[Filling]:
-        largest = sizes[-1]
+    def options() -> Iterator[tuple[Filling, int]]:
+        largest = max(s for s, n in left.items() if n)
         left[largest] -= 1
-        rest = sizes if left[largest] else sizes[:-1]
-        found = fillings(capacity - largest, rest, left, width)
+        rest = dict(left)
         left[largest] += 1
-        return [(largest, *f) for f in found]
-
-    def take(filling: Filling, sign: int, n: int) -> None:
+        for f in fillings(capacity - largest, rest, (bins - 1) * capacity - total - waste):
+            filling = (largest, *f)
+            most = min(left[s] // c for s, c in Counter(filling).items())
+            yield filling, most
+            if most > 1:
+                yield filling, 1
+
+    def take(filling: Filling, n: int) -> None:
+        nonlocal waste, used, state
         for s, c in Counter(filling).items():
-            before = left[s]
-            left[s] -= sign * c * n
-            if not left[s]:
-                sizes.pop(bisect.bisect_left(sizes, s))
-            elif not before:
-                bisect.insort(sizes, s)
-
-    def back() -> list[Filling]:
-        nonlocal waste
-        while path:
-            filling, n, more = path.pop()
-            take(filling, -1, n)
-            waste -= n * (capacity - sum(filling))
-            if more:
-                return more
-        return []
+            left[s] -= c * n
+            state -= name[s] * c * n
+        waste += n * (capacity - sum(filling))
+        used += n
 
     todo = options()
     while nodes:
         nodes -= 1
-        filling, *more = todo
-        n = min(left[s] // c for s, c in Counter(filling).items())
-        waste += n * (capacity - sum(filling))
-        take(filling, 1, n)
-        path.append((filling, n, more))
-        if waste > (bins - 1) * capacity - total:  # no better than the incumbent, however the rest is packed
-            todo = back()
-        elif not sizes:
-            incumbent, bins = [(f, k) for f, k, _ in path], sum(k for _, k, _ in path)
+        step = next(todo, None)
+        if step is None:  # all is tried here
+            if not path:
+                break
+            filling, n, todo = path.pop()
+            take(filling, -n)
+            continue
+        take(*step)
+        worse = waste > (bins - 1) * capacity - total or seen.get(state, bins) <= used
+        if not worse and used and not any(left.values()):
+            incumbent, bins = [(f, k) for f, k, _ in path] + [step], used
             if bins == least:
                 break
-            todo = back()
+            worse = True
+        if worse:  # no better than the incumbent, however the rest is packed, or searched before
+            take(step[0], -step[1])
         else:
+            seen[state] = used
+            path.append((*step, todo))
             todo = options()
-        if not todo:
-            break
     return incumbent
 
 
