@@ -419,7 +419,7 @@ def test_pipeline(spark):
 
     from tarnwick.llm import queries
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "secrets", "packing"] and len(queries.QUERIES) == 10
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "secrets", "packing"] and len(queries.QUERIES) == 13
     docs, d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001"
     names = docs.columns
     toxic = {r["doc_id"] for r in queries.op10_toxicity(spark, d).where("toxic").collect()}
