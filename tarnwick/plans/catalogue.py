@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tarnwick.functions import lists, scalars
 from tarnwick.operators import documents, retrieval, surface, wording
-from tarnwick.plans import contracts, expense_queries, library, obligation_queries, review_queries  # noqa: F401 (registers their queries)
+from tarnwick.plans import contracts, expense_queries, library, obligation_queries, review_queries, service_queries  # noqa: F401 (registers their queries)
 from tarnwick.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tarnwick.plans.rules import apply
 from tarnwick.sources import claim_facts, hour_facts, service_facts, table

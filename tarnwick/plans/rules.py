@@ -35,7 +35,8 @@ class Definition:
 @dataclass(frozen=True)
 class Scope:
     """``types``: SQL types of the variables. ``outputs``: those that must have a value. ``conditions``: variables that
-    are false unless a definition says otherwise. ``context``: inputs that a null leaves to the scope's definitions."""
+    are false unless a definition says otherwise. ``context``: inputs that a null leaves to the scope's definitions.
+    ``needed``: where a variable must have a value, if not everywhere."""
 
     name: str
     types: dict[str, str]
@@ -44,6 +45,7 @@ class Scope:
     conditions: frozenset[str] = frozenset()
     context: frozenset[str] = frozenset()
     optional: frozenset[str] = frozenset()
+    needed: dict[str, str] = field(default_factory=dict)
     order: tuple[str, ...] = field(default=(), compare=False)
 
     def __post_init__(self):
@@ -132,21 +134,22 @@ def _label(scope: Scope, variable: str, label: str) -> Column:
     return F.coalesce(_one_of(above, kind), own) if above else own
 
 
-def apply(scope: Scope, facts: DataFrame, trace: bool = False) -> DataFrame:
-    """The facts with a column for each variable, err and, if asked for, governing. No shuffle, no Python."""
+def apply(scope: Scope, facts: DataFrame, trace: bool = False, given_err: Column | None = None) -> DataFrame:
+    """The facts with a column for each variable, err and, if asked for, governing. No shuffle, no Python.
+    ``given_err``: a failure of what was called for these facts, after that of their own assertions."""
     err, traced, out = F.lit(None).cast("string"), [], facts
     for n, test in enumerate(scope.assertions):
         names = set(re.findall(r"[A-Za-z_]\w*", test))
         if not names & {*scope.order}:  # on inputs only: before all else
             err = F.coalesce(err, F.when(~F.coalesce(F.expr(test), F.lit(False)), F.lit(REFUSED)))
-    out = out.withColumn("err", err)
+    out = out.withColumn("err", err if given_err is None else F.coalesce(err, given_err))
     for v in scope.order:
         kind = scope.types[v]
         result = _one_of([_label(scope, v, label) for label in scope.roots(v)], kind)
         if v in scope.context and v in facts.columns:
             result = F.coalesce(F.when(F.col(v).isNotNull(), _struct(kind, F.lit(None), F.lit("(given)"), F.col(v))), result)
         out = out.withColumn(f"_{v}", result)
-        missing = F.lit(None) if v in scope.optional else F.when(F.col(f"_{v}").isNull(), F.lit(SILENT))
+        missing = F.lit(None) if v in scope.optional else F.when(F.col(f"_{v}").isNull() & F.expr(scope.needed.get(v, "true")), F.lit(SILENT))
         out = out.withColumns({v: F.col(f"_{v}.value"), "err": F.coalesce("err", F.col(f"_{v}.err"), missing)})
         traced.append(F.struct(F.lit(v).alias("variable"), F.col(f"_{v}.branch").alias("branch")))
     for test in scope.assertions:

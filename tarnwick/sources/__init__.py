@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,46 @@ def claim_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("incurred"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("submitted"), (F.col("l_returnflag") == "R").alias("certified"))
     return li.join(orders, li.l_orderkey == orders.o_orderkey).drop("o_orderkey")
+
+
+def timesheet_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item as an hour worked in the week of a supplier and year; a few hours are of no week."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    return li.select(
+        "l_suppkey", F.year("l_shipdate").alias("week"), "l_orderkey", "l_linenumber",
+        F.when(k % 4999 == 0, F.lit(169)).otherwise((k * 5 + F.col("l_linenumber")) % 168 + 1).cast("int").alias("hour_of_week"),
+        (F.col("l_suppkey") % 8 + 1).cast("int").alias("grade"),
+        (F.col("l_partkey") % 11 == 0).alias("holiday"),
+        (F.col("l_returnflag") == "R").alias("critical"),
+        (F.col("l_linestatus") == "O").alias("night"),
+        (F.col("l_suppkey") % 5 == 0).alias("allowance"),
+        (F.col("l_suppkey") % 3 == 0).alias("shift_worker"),
+        (F.col("l_suppkey") % 7 * 10000 + 20001).cast("decimal(12,2)").alias("salary"),
+    )
+
+
+def outage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item as an outage of a supplier's service in a month, with the business days between notice and window: the
+    days on which orders were placed, but for weekends. The calendar has a row for each day that orders span, so that
+    its size is known to be small."""
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    span = ordered.agg(F.min("d").alias("a"), F.max("d").alias("b")).select(F.explode(F.sequence(F.date_sub("a", 1), "b")).alias("day"))
+    days = span.join(ordered.select(F.col("d").alias("day"), (F.weekday("d") < 5).cast("int").alias("business")), "day", "left")
+    days = days.select("day", F.sum(F.coalesce("business", F.lit(0))).over(Window.orderBy("day")).alias("so_far"))
+    li, part = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    start = F.col("l_shipdate").cast("date")
+    out = li.select(
+        "l_suppkey", F.trunc(start, "MM").alias("period_start"), "l_orderkey", "l_linenumber",
+        (F.col("l_quantity") * 4).cast("bigint").alias("minutes"),
+        F.date_sub(start, (part % 12).cast("int")).alias("notified"), start.alias("window_start"),
+        (F.col("l_returnflag") == "N").alias("maintenance"),
+        (F.col("l_returnflag") == "A").alias("emergency"),
+        (part % 90).cast("int").alias("emergency_notice"),
+        (part % 31 == 0).alias("force_majeure"), (part % 17 == 0).alias("customer_act"), (part % 41 == 0).alias("suspension"),
+    )
+    bounds = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    within = lambda d: F.greatest(F.least(d, F.col("hi")), F.col("lo"))
+    out = out.join(F.broadcast(bounds)).withColumns({"from_day": within(F.col("notified")), "to_day": within(F.date_sub("window_start", 1))}).drop("lo", "hi")
+    for side in ("from", "to"):
+        out = out.join(F.broadcast(days.select(F.col("day").alias(f"{side}_day"), F.col("so_far").alias(side))), f"{side}_day")
+    return out.withColumn("notice_days", F.greatest(F.col("to") - F.col("from"), F.lit(0)).cast("int")).drop("from_day", "to_day", "from", "to")
