@@ -72,3 +72,47 @@ def first_of_each(xs: Column, key: Step) -> Column:
     """The first element of each key, in order."""
     keys = F.transform(xs, key)
     return F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
+def reduce(xs: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The elements from the first on; null if there is none."""
+    return F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.try_element_at(xs, F.lit(1)), step)
+
+
+def concat(xs: Column, ys: Column) -> Column:
+    return F.concat(xs, ys)
+
+
+def reverse(xs: Column) -> Column:
+    return F.reverse(xs)
+
+
+def last(xs: Column) -> Column:
+    """Null if empty."""
+    return F.try_element_at(xs, F.lit(-1))
+
+
+def without_first(xs: Column) -> Column:
+    return F.filter(xs, lambda _, i: i > 0)
+
+
+def without_last(xs: Column) -> Column:
+    return F.filter(xs, lambda _, i: i < F.size(xs) - 1)
+
+
+def exists(xs: Column, test: Step) -> Column:
+    return F.exists(xs, test)
+
+
+def every(xs: Column, test: Step) -> Column:
+    """True of an empty list."""
+    return F.forall(xs, test)
+
+
+def contains(xs: Column, x: Column) -> Column:
+    return F.array_contains(xs, x)
+
+
+def before(xs: Column, ys: Column) -> Column:
+    """Whether a list goes before another: by their first difference, then by their length."""
+    return xs < ys

@@ -45,6 +45,29 @@ def in_excess(x: Column, of: Column) -> Column:
     return F.greatest(x - of, F.lit(0).cast("decimal(18,2)"))
 
 
+def in_default(x: Column, of: Column) -> Column:
+    return F.greatest(of - x, F.lit(0).cast("decimal(18,2)"))
+
+
+def positive(x: Column) -> Column:
+    return F.greatest(x, F.lit(0).cast("decimal(18,2)"))
+
+
+def up(x: Column) -> Column:
+    """To the next greater unit."""
+    return F.ceil(x)
+
+
+def down(x: Column) -> Column:
+    """To the next lesser unit."""
+    return F.floor(x)
+
+
+def to_decimal(x: Column, n: int) -> Column:
+    """To n decimals; of a negative n, to tens, hundreds and so on. Halves go away from zero."""
+    return F.round(x, n)
+
+
 def add_period(date: Column, months: Column, days: Column, rounding: str = "abort") -> Column:
     """Months first, with one rounding if the day doesn't exist there, then days. ``up``: the first of the next month;
     ``down``: the last of the month; ``abort``: null, for the caller to report."""
@@ -88,7 +111,8 @@ def overlaps(p: Column, q: Column) -> Column:
 
 
 def adjacent(p: Column, q: Column) -> Column:
-    return (F.date_add(p["end"], 1) == q["begin"]) | (F.date_add(q["end"], 1) == p["begin"])
+    """q begins on the day after p ends."""
+    return F.date_add(p["end"], 1) == q["begin"]
 
 
 def intersection(p: Column, q: Column) -> Column:

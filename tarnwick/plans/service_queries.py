@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnwick.plans import compose, library, service
 from tarnwick.plans.registry import query
 from tarnwick.sources import outage_facts, table, timesheet_facts
 
 _HOURS = """
-h as (select l_suppkey, year(l_shipdate)::int as week, l_orderkey, l_linenumber, case when l_orderkey % 4999 = 0 then 169 else (l_orderkey * 5 + l_linenumber) % 168 + 1 end hour_of_week,
+h as (select l_suppkey, l_partkey, year(l_shipdate)::int as week, l_orderkey, l_linenumber, case when l_orderkey % 4999 = 0 then 169 else (l_orderkey * 5 + l_linenumber) % 168 + 1 end hour_of_week,
     l_suppkey % 8 + 1 grade, l_partkey % 11 = 0 as holiday, l_returnflag = 'R' as critical, l_linestatus = 'O' as night, l_suppkey % 5 = 0 as allowance, l_suppkey % 3 = 0 as shift, l_suppkey % 7 * 10000 + 20001 salary from lineitem),
-o as (select *, row_number() over (partition by l_suppkey, week order by hour_of_week, l_orderkey, l_linenumber) n from h)"""
+o as (select *, row_number() over (partition by l_suppkey, week order by hour_of_week, l_orderkey, l_linenumber, l_partkey) n from h)"""
 #: What an hour is paid for, and by which rules.
 _PREMIUM = """
 b as (select *, case when holiday and n > 48 then 'late_holiday' when holiday then 'holiday' when grade >= 5 and n > 40 and critical then 'critical' when grade >= 5 and n > 40 then 'senior'
@@ -32,7 +33,7 @@ def weekly_overtime(spark, sf_dir):
     """Each hour's premium by its place in the week, added up exactly; a week's case is told by all that its hours were paid by."""
     hours, key = timesheet_facts(spark, sf_dir), ["l_suppkey", "week"]
     rates = {"counted": F.count("*"), "rate": F.sum("total_rate"), "banked": F.sum(F.col("toil").cast("int"))}
-    tally = compose.call_each("tally", library.HOUR_PREMIUM, hours, key, ["hour_of_week", "l_orderkey", "l_linenumber"], rates, "ordinal", 168)
+    tally = compose.call_each("tally", library.HOUR_PREMIUM, hours, key, ["hour_of_week", "l_orderkey", "l_linenumber", "l_partkey"], rates, "ordinal", 168)
     weeks = hours.groupBy(*key).agg(F.bool_and(F.col("hour_of_week").between(1, 168)).alias("in_week"), F.round(F.max("salary") / 2080, 2).alias("base"))
     out = compose.run(service.WEEKLY_OVERTIME, weeks.join(tally, key), "tally").withColumn("signature", compose.signature())
     done = lambda c: F.when(F.col("err").isNull(), F.col(c))
@@ -45,9 +46,7 @@ select l_orderkey, l_linenumber, case when by_contract then 0 when n > 168 then
     'premium.night_premium=' || by_night, 'premium.payable=premium.payable', 'premium.salaried=premium.salaried', 'premium.toil=' || by_toil, 'premium.total_rate=premium.total_rate']), ';') end signature from r""")
 def hour_pay(spark, sf_dir):
     """A scope that calls another where a condition holds: equal branches of the caller, different ones of the callee."""
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("l_suppkey", "week").orderBy("hour_of_week", "l_orderkey", "l_linenumber"))
+    place = F.row_number().over(Window.partitionBy("l_suppkey", "week").orderBy("hour_of_week", "l_orderkey", "l_linenumber", "l_partkey"))
     out = compose.run(service.HOUR_PAY, timesheet_facts(spark, sf_dir).withColumn("ordinal", place).where("hour_of_week <= 168")).withColumn("signature", compose.signature())
     return out.select("l_orderkey", "l_linenumber", F.when(F.col("err").isNull(), F.col("pay")).cast("double").alias("pay"), "err", "signature")
 

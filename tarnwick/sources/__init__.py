@@ -51,7 +51,7 @@ def timesheet_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item as an hour worked in the week of a supplier and year; a few hours are of no week."""
     li, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
     return li.select(
-        "l_suppkey", F.year("l_shipdate").alias("week"), "l_orderkey", "l_linenumber",
+        "l_suppkey", F.year("l_shipdate").alias("week"), "l_orderkey", "l_linenumber", "l_partkey",
         F.when(k % 4999 == 0, F.lit(169)).otherwise((k * 5 + F.col("l_linenumber")) % 168 + 1).cast("int").alias("hour_of_week"),
         (F.col("l_suppkey") % 8 + 1).cast("int").alias("grade"),
         (F.col("l_partkey") % 11 == 0).alias("holiday"),
