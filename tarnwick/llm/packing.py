@@ -102,6 +102,9 @@ def reachable(counts: dict[int, int], room: int) -> tuple[list[int], list[int]]:
     sums = [1]
     for s in sizes:
         now, left, step = sums[-1], min(counts[s], room // s), 1
+        if now >> s == mask >> s:  # all sums from here on are made, and longer ones make no others
+            sums += [now] * (len(sizes) + 1 - len(sums))
+            break
         while left:  # 1, 2, 4, ... of a length and the rest make up every number of it
             step = min(step, left)
             now |= now << (s * step) & mask
@@ -111,8 +114,9 @@ def reachable(counts: dict[int, int], room: int) -> tuple[list[int], list[int]]:
     return sizes, sums
 
 
-def fillings(room: int, counts: dict[int, int], most_waste: int | None = None) -> Iterator[Filling]:
-    """All undominated fillings of a room, least waste first, those with longer pieces before others.
+def fillings(room: int, counts: dict[int, int], most_waste: int | None = None) -> Iterator[Filling | None]:
+    """All undominated fillings of a room, least waste first, those with longer pieces before others; null in the place
+    of a dominated one, so that a search can count these too.
 
     A filling is dominated if a length that is left could take the place of one of its own, or of none: swapping the two
     is no loss anywhere. Sums that can't be made are never entered, so that each filling costs a few steps only.
@@ -137,13 +141,13 @@ def fillings(room: int, counts: dict[int, int], most_waste: int | None = None) -
             continue
         for filling in make(len(sizes), room - waste):
             held = Counter(filling)
-            if not any(s < x <= s + waste and counts[x] > held[x] for s in {0, *held} for x in sizes[bisect.bisect_right(sizes, s) : bisect.bisect_right(sizes, s + waste)]):
-                yield filling
+            longer = (x for s in {0, *held} for x in sizes[bisect.bisect_right(sizes, s) : bisect.bisect_right(sizes, s + waste)])
+            yield None if any(counts[x] > held[x] for x in longer) else filling
 
 
 def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000) -> list[tuple[Filling, int]]:
     """Fillings with the number of their bins: as few as can be, if the search ends within ``nodes``, the number of
-    fillings that it may try beyond the incumbent.
+    fillings that it may look at beyond the incumbent.
 
     Around the largest length left every undominated filling is tried, for as many bins as its lengths allow and for one
     bin, which leads to every number between. What is left is met again in many orders and is searched once only.
@@ -153,19 +157,22 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000) ->
     least, bins, total = lower_bound(counts, capacity), sum(n for _, n in incumbent), sum(s * n for s, n in counts.items())
     if bins == least:
         return incumbent
-    left, waste, used = dict(counts), 0, 0
+    left, sizes, waste, used = dict(counts), sorted(counts), 0, 0
     names = np.random.default_rng(6)
     name = {s: int.from_bytes(names.bytes(16), "little") for s in counts}
     state, seen = sum(name[s] * n for s, n in left.items()), {}
     #: Of each step of the branch at hand: its filling, its bins, what else to try there.
     path: list[tuple[Filling, int, Iterator]] = []
 
-    def options() -> Iterator[tuple[Filling, int]]:
-        largest = max(s for s, n in left.items() if n)
-        left[largest] -= 1
-        rest = dict(left)
-        left[largest] += 1
+    def options() -> Iterator[tuple[Filling, int] | None]:
+        largest = sizes[-1]
+        rest = {s: left[s] for s in sizes[: bisect.bisect_right(sizes, capacity - largest)]}
+        if largest in rest:
+            rest[largest] -= 1
         for f in fillings(capacity - largest, rest, (bins - 1) * capacity - total - waste):
+            if f is None:
+                yield None
+                continue
             filling = (largest, *f)
             most = min(left[s] // c for s, c in Counter(filling).items())
             yield filling, most
@@ -175,16 +182,23 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000) ->
     def take(filling: Filling, n: int) -> None:
         nonlocal waste, used, state
         for s, c in Counter(filling).items():
+            before = left[s]
             left[s] -= c * n
             state -= name[s] * c * n
+            if not left[s]:
+                sizes.pop(bisect.bisect_left(sizes, s))
+            elif not before:
+                bisect.insort(sizes, s)
         waste += n * (capacity - sum(filling))
         used += n
 
     todo = options()
     while nodes:
         nodes -= 1
-        step = next(todo, None)
-        if step is None:  # all is tried here
+        step = next(todo, ())
+        if step is None:  # dominated
+            continue
+        if not step:  # all is tried here
             if not path:
                 break
             filling, n, todo = path.pop()
@@ -192,7 +206,7 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4_000) ->
             continue
         take(*step)
         worse = waste > (bins - 1) * capacity - total or seen.get(state, bins) <= used
-        if not worse and used and not any(left.values()):
+        if not worse and not sizes:
             incumbent, bins = [(f, k) for f, k, _ in path] + [step], used
             if bins == least:
                 break
