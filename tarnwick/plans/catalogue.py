@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tarnwick.functions import lists, scalars
 from tarnwick.operators import documents, retrieval, surface, wording
-from tarnwick.plans import contracts, expense_queries, library, obligation_queries, review_queries, service_queries, value_queries  # noqa: F401 (registers their queries)
+from tarnwick.plans import contracts, expense_queries, library, map_queries, obligation_queries, review_queries, service_queries, value_queries  # noqa: F401 (registers their queries)
 from tarnwick.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tarnwick.plans.rules import apply
 from tarnwick.sources import claim_facts, hour_facts, service_facts, table
@@ -186,32 +186,6 @@ def recorded_divergences(spark, sf_dir):
     return out.select("o_orderkey", F.col("actual").cast("double").alias("actual"), F.col("payable").cast("double").alias("payable"), "direction")
 
 
-def _service_grid(spark):
-    values = sorted({v for t in ("95.00", "98.00", "99.00", "99.50", "99.90") for v in surface.probes(t, "0.00", "100.00")})
-    return surface.grid(spark, {"availability": ("decimal(9,2)", values), "charge": ("decimal(18,2)", ["1000.00"]), "arrears_days": ("int", [0, 30, 31]), "undisputed": ("boolean", ["true", "false"])})
-
-
-GRID = """a(availability) as (values (0.00),(94.99),(95.00),(95.01),(97.99),(98.00),(98.01),(98.99),(99.00),(99.01),(99.49),(99.50),(99.51),(99.89),(99.90),(99.91),(100.00)),
-g as (select availability, arrears_days, undisputed from a, (values (0),(30),(31)) b(arrears_days), (values (true),(false)) c(undisputed))"""
-
-
-@query(f"""with {GRID}, s as (select case when availability < 99.9 and undisputed and arrears_days > 30 then 'arrears' when availability < 95 then 'deep' when availability < 99.9 then 'bands' else 'none' end credit,
-  case when availability < 95 then 'deep_cap' else 'cap' end cap from g)
-select 'credit=' || credit || ';cap=' || cap || ';payable=payable;amount=amount' signature, count(*) size from s group by 1""")
-def surface_regions(spark, sf_dir):
-    return surface.regions(surface.cells(library.SERVICE_CREDIT, _service_grid(spark)))
-
-
-@query(f"""with {GRID} select availability::double availability, arrears_days, undisputed, case when availability < 95 and not (undisputed and arrears_days > 30) then 'revalued' else 'regoverned' end kind,
-  case when availability < 95 and not (undisputed and arrears_days > 30) then -200.0 else 0.0 end::double delta from g where availability < 95""")
-def surface_diff(spark, sf_dir):
-    """What striking out the deep band and its cap moves."""
-    scope, cells = library.SERVICE_CREDIT, _service_grid(spark)
-    before, after = surface.cells(scope, cells), surface.cells(scope.without("deep").without("deep_cap"), cells)
-    moved = surface.diff(before, after, ["availability", "charge", "arrears_days", "undisputed"], "amount")
-    return moved.select(F.col("availability").cast("double").alias("availability"), "arrears_days", "undisputed", "kind", F.col("delta").cast("double").alias("delta"))
-
-
 @query("""with lines as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') line from documents)
 select doc_id, line, count(*) n from lines where line <> '' and length(line) <= 80 and len(regexp_split_to_array(line, ' +')) <= 12 group by all having count(*) >= 3""")
 def page_furniture(spark, sf_dir):

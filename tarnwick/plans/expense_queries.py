@@ -164,14 +164,6 @@ def leaver_commission(spark, sf_dir):
     return apply(expenses.LEAVER, due).select("seller", *_doubles("payable", "overpaid"))
 
 
-@query("""with p as (select unnest([500, 999, 1000, 1001, 99999, 100000, 150000]) price)
-select price::double price, case when price < 1000 then 'NoApplicableRule' else 'Conflict' end err, true near, 2000.0::double low, 2000.0::double high, 0.0::double amount from p where price < 1000 or price >= 100000""")
-def undetermined_amounts(spark, sf_dir):
-    """What turns on the cells that the rival caps don't decide."""
-    grid = surface.grid(spark, {"price": (MONEY, [500, 999, 1000, 1001, 99999, 100000, 150000])})
-    return surface.undetermined(surface.cells(library.RIVAL_CAPS, grid), ["price"], "cap").select("price", "err", "near", "low", "high", "amount").select(*_doubles("price"), "err", "near", *_doubles("low", "high", "amount"))
-
-
 @query("""with f as (select o_orderkey, cast(floor(o_totalprice / 1000) as int) v from orders)
 select o_orderkey, 'reimbursable/reimbursable' as field, v::double left_value, least(v, 60)::double right_value from f where v > 60 and o_orderkey % 3 <> 0""")
 def contradictions(spark, sf_dir):
