@@ -88,3 +88,35 @@ def outage_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for side in ("from", "to"):
         out = out.join(F.broadcast(days.select(F.col("day").alias(f"{side}_day"), F.col("so_far").alias(side))), f"{side}_day")
     return out.withColumn("notice_days", F.greatest(F.col("to") - F.col("from"), F.lit(0)).cast("int")).drop("from_day", "to_day", "from", "to")
+
+
+def agreement_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer as an agreement: a section for each order, with numbers in one of four forms. A paragraph for each line
+    item, with what goes on with it, and two for each order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").cast("string").alias("q"), "l_returnflag", "l_linestatus")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("k")
+    sections = orders.join(li.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").select("o_custkey", "o_orderkey", k)
+    j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = li.withColumn("j", j).join(sections, F.col("l_orderkey") == F.col("o_orderkey"))
+    form, ks, js = F.col("o_custkey") % 4, F.col("k").cast("string"), F.col("j").cast("string")
+
+    def numbered(n):
+        return F.when(form == 0, F.concat(ks, F.lit("."), n, F.lit(" "))).when(form == 1, F.concat(n, F.lit(". "))).otherwise("")
+
+    lot = F.concat(F.lit(" of lot "), ks, F.lit("/"), js, F.lit("."))  # else a document repeats itself, as page heads do
+    say = lambda at, kind, level, text: F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.alias("text"))
+    item = F.array(
+        say(0, "paragraph", 0, F.concat(numbered(js), F.when(form == 2, F.concat(F.lit("("), F.lower(F.substring(F.lit("ABCDEFGHJK"), (F.col("j") - 1) % 10 + 1, F.lit(1))), F.lit(") "))).otherwise(""), F.lit("The Supplier shall deliver "), F.col("q"), F.lit(" units"), lot)),
+        say(1, "paragraph", 0, F.when((F.col("l_returnflag") == "R") & (form != 1) & (F.col("j") <= 10), F.concat(F.lit("which may be returned at any time"), lot))),
+        say(2, "paragraph", 0, F.when(F.col("l_linestatus") == "O", F.concat(F.lit("• subject to inspection"), lot))),
+    )
+    top = F.array(
+        say(0, "heading", 2, F.when(form == 0, F.concat(ks, F.lit(" Deliveries of this order"))).when(form == 1, F.concat(F.lit("ARTICLE "), ks, F.lit(" Deliveries"))).otherwise(F.concat(F.lit("Deliveries of order "), ks))),
+        say(1, "paragraph", 0, F.when(form == 3, F.concat(F.lit("Page "), ks))),
+    )
+    body = lines.select("o_custkey", "k", F.col("j"), F.explode(item).alias("p"))
+    heads = sections.select("o_custkey", "k", F.lit(0).alias("j"), F.explode(top).alias("p"))
+    out = body.unionByName(heads).where("p.text is not null")
+    pos = (F.col("k") * 1000 + F.col("j") * 10 + F.col("p.at")).alias("pos")
+    return out.select(F.col("o_custkey").alias("doc_id"), pos, "p.kind", "p.level", "p.text")
