@@ -34,12 +34,12 @@ def commission(spark, sf_dir):
 
 
 @query("""with f as (select l_orderkey, l_linenumber, l_extendedprice, l_shipdate::date paid_on, l_shipdate::date + (l_partkey % 1500)::int assessed, l_returnflag = 'R' churned, l_partkey % 3 = 0 breach from lineitem)
-select l_orderkey, l_linenumber, (paid_on + interval 24 month)::date::varchar long_stop,
+select l_orderkey, l_linenumber, (paid_on + interval 24 month)::date::varchar long_stop, assessed > (paid_on + interval 24 month)::date time_barred,
   case when not churned or breach or assessed > (paid_on + interval 24 month)::date then 0 else round(l_extendedprice, 2) end::double recoverable from f""")
 def recovery(spark, sf_dir):
     ship = F.col("l_shipdate").cast("date")
     facts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("paid"), ship.alias("paid_on"), F.date_add(ship, (F.col("l_partkey") % 1500).cast("int")).alias("assessed"), (F.col("l_returnflag") == "R").alias("churned"), (F.col("l_partkey") % 3 == 0).alias("breach"))
-    return apply(obligations.RECOVERY, facts).select("l_orderkey", "l_linenumber", F.col("long_stop").cast("string").alias("long_stop"), F.col("recoverable").cast("double").alias("recoverable"))
+    return apply(obligations.RECOVERY, facts).select("l_orderkey", "l_linenumber", F.col("long_stop").cast("string").alias("long_stop"), "time_barred", F.col("recoverable").cast("double").alias("recoverable"))
 
 
 def _order_dates(spark, sf_dir):
@@ -88,17 +88,17 @@ _KINDS = ("employee", "contract", "financial", "marketing", "security", "candida
 
 
 @query(f"""with f as (select o_orderkey k, o_orderdate::date d, case when k % 5 < 3 then d + (k % 400)::int end engaged, case when k % 7 < 4 then d + (k % 90)::int end consented,
-  case when k % 2 = 0 then d + (k % 700)::int end renewed, k % 4 < 2 statutory, (60 + k % 25)::int n_months, {list(_KINDS)}[k % 6 + 1] kind from orders),
+  case when k % 2 = 0 then d + (k % 700)::int end renewed, k % 4 < 2 statutory, (case when k % 97 < 3 then -3 else 60 + k % 25 end)::int n_months, {list(_KINDS)}[k % 6 + 1] kind from orders),
 g as (select *, (d + to_months(n_months))::date s, case when day((d + to_months(n_months))::date) < day(d) then (d + to_months(n_months))::date + 1 else (d + to_months(n_months))::date end s_up, (d + interval 72 month)::date six from f)
-select k o_orderkey, kind, (case kind when 'employee' then case when statutory and s > six then greatest(six, s_up) else six end when 'marketing' then (greatest(d, engaged) + interval 24 month)::date
+select k o_orderkey, kind, case when statutory and n_months < 0 then 'AssertionFailed' end err, case when not (statutory and n_months < 0) then (case kind when 'employee' then case when statutory and s > six then greatest(six, s_up) else six end when 'marketing' then (greatest(d, engaged) + interval 24 month)::date
   when 'security' then (d + interval 13 month)::date when 'candidate' then case when consented is not null then (greatest(consented, renewed) + interval 24 month)::date else (d + interval 12 month)::date end
-  else (d + interval 84 month)::date end)::varchar until from g""")
+  else (d + interval 84 month)::date end)::varchar end until from g""")
 def retention(spark, sf_dir):
     orders, k, day = _order_dates(spark, sf_dir)
     kind = F.get(F.array(*map(F.lit, _KINDS)), (k % 6).cast("int"))
     renewals = F.filter(F.array(F.when(k % 2 == 0, day(700))), lambda x: x.isNotNull())
-    facts = orders.select("o_orderkey", kind.alias("kind"), F.col("d").alias("started"), F.when(k % 5 < 3, day(400)).alias("engaged"), F.when(k % 7 < 4, day(90)).alias("consented"), renewals.alias("renewals"), (k % 4 < 2).alias("statutory"), (60 + k % 25).cast("int").alias("statutory_months"))
-    return apply(obligations.RETENTION, facts).select("o_orderkey", "kind", F.col("until").cast("string").alias("until"))
+    facts = orders.select("o_orderkey", kind.alias("kind"), F.col("d").alias("started"), F.when(k % 5 < 3, day(400)).alias("engaged"), F.when(k % 7 < 4, day(90)).alias("consented"), renewals.alias("renewals"), (k % 4 < 2).alias("statutory"), F.when(k % 97 < 3, -3).otherwise(60 + k % 25).cast("int").alias("statutory_months"))
+    return apply(obligations.RETENTION, facts).select("o_orderkey", "kind", "err", F.when(F.col("err").isNull(), F.col("until")).cast("string").alias("until"))
 
 
 @query("""with f as (select c_custkey k, c_custkey % 97 e, c_custkey % 3 = 0 prevented from customer)

@@ -47,13 +47,14 @@ COMMISSION = Scope(
 #: Inputs: paid, paid_on, assessed, churned, breach. The long stop goes before all else.
 RECOVERY = Scope(
     "recovery",
-    {"long_stop": "date", "recoverable": MONEY},
+    {"long_stop": "date", "time_barred": "boolean", "recoverable": MONEY},
     (
         D("long_stop", down("paid_on", 24)),
+        D("time_barred", "assessed > long_stop"),
         D("recoverable", "0.00", label="none"),
         D("recoverable", "paid", "churned", "churned", "none"),
         D("recoverable", "0.00", "churned and breach", "own_breach", "churned"),
-        D("recoverable", "0.00", "churned and assessed > long_stop", "barred", "own_breach"),
+        D("recoverable", "0.00", "churned and time_barred", "barred", "own_breach"),
     ),
     ("paid >= 0",),
 )
@@ -125,6 +126,7 @@ RETENTION = Scope(
         D("until", down("greatest(consented, array_max(renewals))", 24), "kind = 'candidate' and consented is not null", "talent_pool", "candidate"),
         D("until", f"greatest({down('started', 72)}, {up('started', 'statutory_months')})", f"kind = 'employee' and statutory and {down('started', 'statutory_months')} > {down('started', 72)}", "statutory", "employee"),
     ),
+    (f"not statutory or {up('started', 'statutory_months')} >= started",),
 )
 
 #: Inputs: accrued, prevented. Rounding to half days, exact quarters up; what may be carried forward.

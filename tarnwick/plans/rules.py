@@ -36,7 +36,8 @@ class Definition:
 class Scope:
     """``types``: SQL types of the variables. ``outputs``: those that must have a value. ``conditions``: variables that
     are false unless a definition says otherwise. ``context``: inputs that a null leaves to the scope's definitions.
-    ``needed``: where a variable must have a value, if not everywhere."""
+    ``needed``: where a variable must have a value, if not everywhere. ``failures``: code and condition on inputs of what
+    can't be evaluated, such as a date without rounding that doesn't exist."""
 
     name: str
     types: dict[str, str]
@@ -46,6 +47,7 @@ class Scope:
     context: frozenset[str] = frozenset()
     optional: frozenset[str] = frozenset()
     needed: dict[str, str] = field(default_factory=dict)
+    failures: tuple[tuple[str, str], ...] = ()
     order: tuple[str, ...] = field(default=(), compare=False)
 
     def __post_init__(self):
@@ -142,6 +144,8 @@ def apply(scope: Scope, facts: DataFrame, trace: bool = False, given_err: Column
         names = set(re.findall(r"[A-Za-z_]\w*", test))
         if not names & {*scope.order}:  # on inputs only: before all else
             err = F.coalesce(err, F.when(~F.coalesce(F.expr(test), F.lit(False)), F.lit(REFUSED)))
+    for code, test in scope.failures:
+        err = F.coalesce(err, F.when(F.expr(test), F.lit(code)))
     out = out.withColumn("err", err if given_err is None else F.coalesce(err, given_err))
     for v in scope.order:
         kind = scope.types[v]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import structure
+from tarnwick.operators import conflicts, structure
 from tarnwick.plans.registry import query
-from tarnwick.sources import agreement_paragraphs
+from tarnwick.sources import agreement_paragraphs, supply_clauses, table
 
 #: What each paragraph is, said from the keys that its text was made of, without reading the text.
 _AGREEMENTS = """
@@ -44,3 +44,48 @@ def paragraph_dispositions(spark, sf_dir):
     told = structure.dispositions(agreement_paragraphs(spark, sf_dir))
     layers = structure.schemes(structure.marked(agreement_paragraphs(spark, sf_dir))).where("clause_layer <> 'paragraph'").select("doc_id")
     return told.join(layers, "doc_id").select("doc_id", F.col("pos").cast("int").alias("pos"), "disposition", "section_id", "clause_id", "id_source")
+
+
+_CLAUSES = """
+c as (select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || printf('%.2f', l_extendedprice) ref, l_partkey part, l_suppkey supplier, l_linestatus = 'O' as incoming,
+  list_distinct([printf('%.2f', l_extendedprice), cast(round(l_discount * 100) as int)::varchar, cast(l_quantity as int) || ' day']) n, cast(round(l_discount * 100) as int) off, cast(l_quantity as int) qty, l_extendedprice price from lineitem),
+a as (select distinct ref, part, supplier, n from c where incoming), b as (select distinct ref, part, supplier, n from c where not incoming)"""
+
+
+@query(f"""with {_CLAUSES} select a.ref, b.ref existing_ref, array_to_string(list_sort(list_filter(a.n, lambda x: not list_contains(b.n, x))), ',') differing from a join b using (part, supplier) where len(list_filter(a.n, lambda x: not list_contains(b.n, x))) > 0""")
+def numeric_divergences(spark, sf_dir):
+    """Incoming clauses whose figures differ from those of clauses on the same part and maker."""
+    rows = supply_clauses(spark, sf_dir)
+    out = conflicts.numeric_divergence(rows.where("open").select("ref", "text").distinct(), rows.where("not open").select("ref", "text").distinct())
+    return out.select("ref", "existing_ref", F.array_join("differing", ",").alias("differing"))
+
+
+@query("""with d as (select p_partkey, p_name, p_brand, p_size > 25 as incoming from part)
+select 'P-' || a.p_partkey ref, 'P-' || b.p_partkey existing_ref, lower(a.p_name) term from d a join d b on a.p_name = b.p_name and a.incoming and not b.incoming and a.p_brand <> b.p_brand""")
+def term_redefinitions(spark, sf_dir):
+    """Names that parts define in other words than other parts do."""
+    text = F.concat(F.lit('"'), F.col("p_name"), F.lit('"  means what\n'), F.col("p_brand"), F.lit(" sells."))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("P-"), "p_partkey").alias("ref"), text.alias("text"), (F.col("p_size") > 25).alias("incoming"))
+    return conflicts.term_redefinition(rows.where("incoming"), rows.where("not incoming"))
+
+
+@query(f"""with {_CLAUSES}, e as (select ref, list_sort(list_distinct(list('M' || (supplier % 5)))) modules from c where off > 8 group by 1) select distinct ref, array_to_string(modules, ',') modules from c join e using (ref) where incoming""")
+def duplicate_encodings(spark, sf_dir):
+    rows = supply_clauses(spark, sf_dir)
+    encoded = rows.where(F.regexp_extract("text", conflicts.PERCENT, 1).cast("int") > 8).select("ref", F.concat(F.lit("M"), F.col("supplier") % 5).alias("module"))
+    out = conflicts.duplicate_encoding(rows.where("open").select("ref").distinct(), encoded)
+    return out.select("ref", F.array_join("modules", ",").alias("modules"))
+
+
+@query(f"""with {_CLAUSES}, d as (select part, supplier, incoming, list_distinct(list(off)) offs, list_distinct(list(printf('%.2f', price))) prices, list_distinct(list(case when qty < 5 then qty end)) soon from c group by all),
+x as (select a.part, a.supplier, len(list_filter(a.prices, lambda p: list_contains(b.prices, p))) = 0 money, list_sort(a.offs) <> list_sort(b.offs) pct, len(a.soon) > 0 and len(b.soon) > 0 and list_sort(a.soon) <> list_sort(b.soon) soon from d a join d b on a.part = b.part and a.supplier = b.supplier and a.incoming and not b.incoming)
+select part, supplier, concat_ws(',', case when money then 'money' end, case when pct then 'percent' end, case when soon then 'deadline' end) differ from x where money or pct or soon""")
+def incompatible_quantities(spark, sf_dir):
+    """Documents on one part and maker, incoming and existing, whose quantities are incompatible, by kind."""
+    rows = supply_clauses(spark, sf_dir)
+    days = F.regexp_extract("text", r"(\d+) days", 1)
+    said = F.concat(F.regexp_replace("text", r"payable.*", ""), F.when(days.cast("int") < 5, F.concat(F.lit("due within at most ("), days, F.lit(") hours"))).otherwise(""))
+    docs = rows.groupBy("part", "supplier", "open").agg(F.array_join(F.array_sort(F.collect_set(said)), " ").alias("text")).withColumn("f", conflicts.fingerprint(F.regexp_replace("text", "within at most", "within most")))
+    a, b = docs.where("open").select("part", "supplier", F.col("f").alias("a")), docs.where("not open").select("part", "supplier", F.col("f").alias("b"))
+    out = a.join(b, ["part", "supplier"]).withColumn("differ", conflicts.dimensions_differ(F.col("a"), F.col("b")))
+    return out.where(F.size("differ") > 0).select("part", "supplier", F.array_join("differ", ",").alias("differ"))

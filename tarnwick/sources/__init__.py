@@ -120,3 +120,14 @@ def agreement_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = body.unionByName(heads).where("p.text is not null")
     pos = (F.col("k") * 1000 + F.col("j") * 10 + F.col("p.at")).alias("pos")
     return out.select(F.col("o_custkey").alias("doc_id"), pos, "p.kind", "p.level", "p.text")
+
+
+def supply_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item as a clause on the part and the supplier that it names, with a price, a discount and a time; ``open``
+    ones are incoming. ref tells a line item's copies apart."""
+    li = table(spark, sf_dir, "lineitem")
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    price, off, days = F.format_string("%.2f", F.col("l_extendedprice")), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    text = F.concat(F.lit('On offer: "Part '), part, F.lit('" of "Maker '), supplier, F.lit('" at $'), price, F.lit(" less "), off, F.lit("%, payable within "), days, F.lit(" days."))
+    ref = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price)
+    return li.select(ref.alias("ref"), text.alias("text"), (F.col("l_linestatus") == "O").alias("open"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
