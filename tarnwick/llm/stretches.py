@@ -21,7 +21,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: A stretch begins (ends) with white space or is empty; a text that holds it is encoded as a whole.
 BEGINS, ENDS, WHOLE = 1, 2, 4
 #: Characters that a batch's texts are taken by, and the longest stretch that is encoded together with others.
-TOGETHER, LONGEST = 4 << 20, 96
+TOGETHER, LONGEST = 1 << 20, 96
 
 
 class IntMap:
@@ -365,6 +365,7 @@ class Stretches:
             b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + TOGETHER, "right")))
             yield a, *self._slice(texts.slice(a, b - a))
             a = b
+        pa.default_memory_pool().release_unused()  # workers live on, and several share an executor
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self.units.forget()
