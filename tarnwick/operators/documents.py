@@ -7,6 +7,7 @@ from html import unescape
 from html.parser import HTMLParser
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,43 +109,60 @@ def after_scan(state: DataFrame, seen: DataFrame, first: bool = False) -> DataFr
     return s.join(n, "key", "full").select("key", F.when(here, F.col("has")).otherwise(F.col("had")).alias("fingerprint"), status.alias("status"), left.alias("removed_from"))
 
 
-class _Blocks(HTMLParser):
-    """Runs of text between the tags of blocks, with the level of the heading that they stand in (0: none)."""
+class _Events(HTMLParser):
+    """Lists what a page is made of, in order: a step (1 open, -1 close, 0 text) and its tag or text. It decides nothing."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.words, self.title = [], [], []
-        self.level = self.dropped = self.furniture = 0
-        self.titled = False
+        self.steps, self.said = [0], [""]
 
-    def cut(self, level=0):
-        text = "".join(self.words)
-        if text.strip():
-            kind = "heading" if self.level else "furniture" if self.furniture else "body"
-            self.out.append({"kind": kind, "level": self.level, "text": unescape(text)})
-        self.words, self.level = [], level
+    def _note(self, step, said):
+        self.steps.append(step)
+        self.said.append(said)
 
     def handle_starttag(self, tag, attrs):
-        if tag in wording.FURNITURE:
-            self.cut()
-            self.furniture += 1
-        if tag in wording.BLOCKS:
-            self.cut(int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0)
-        self.dropped += tag in wording.DROPPED
-        self.titled |= tag == "title"
+        self._note(1, tag)
 
     def handle_endtag(self, tag):
-        if tag in wording.BLOCKS or tag in wording.FURNITURE:
-            self.cut()
-        self.furniture = max(0, self.furniture - (tag in wording.FURNITURE))
-        self.dropped = max(0, self.dropped - (tag in wording.DROPPED))
-        self.titled &= tag != "title"
+        self._note(-1, tag)
 
     def handle_data(self, data):
-        if self.titled:
-            self.title.append(data)
-        elif not self.dropped:
-            self.words.append(data)
+        self._note(0, data)
+
+
+def _depth(steps: np.ndarray) -> np.ndarray:
+    """How deep each event stands; a close without an open counts for nothing."""
+    walk = np.cumsum(steps)
+    return walk - np.minimum(0, np.minimum.accumulate(walk))
+
+
+def _page(html: str) -> tuple[str, list[dict]]:
+    """The title and the blocks of a page, by sums that run over its events: a block's tag, opened or closed, ends one
+    block and begins the next; text counts where nothing around it is dropped."""
+    events = _Events()
+    events.feed(html)
+    events.close()
+    step = np.array(events.steps)
+    of = lambda tags: np.array([bool(k) and t in tags for k, t in zip(events.steps, events.said)])
+    aside, titled = of(wording.FURNITURE), of({"title"})
+    edge = of(wording.BLOCKS) | aside
+    block = np.cumsum(edge)
+    last = np.maximum.accumulate(np.where(titled, np.arange(len(step)), 0))
+    in_title = titled[last] & (step[last] > 0)
+    shown = (step == 0) & ~in_title & (_depth(step * of(wording.DROPPED)) == 0)
+    outside = _depth(step * aside)
+    texts: dict[int, list[str]] = {}
+    for k in np.flatnonzero(shown).tolist():
+        texts.setdefault(int(block[k]), []).append(events.said[k])
+    begins = np.concatenate([[0], np.flatnonzero(edge)])  # the event that each block begins with
+    out = []
+    for n, parts in texts.items():
+        tag, at = events.said[begins[n]], begins[n]
+        level = int(tag[1]) if step[at] > 0 and tag[0] == "h" and tag[1:].isdigit() else 0
+        text = "".join(parts)
+        if text.strip():
+            out.append({"kind": "heading" if level else "furniture" if outside[at] else "body", "level": level, "text": unescape(text)})
+    return unescape("".join(events.said[k] for k in np.flatnonzero((step == 0) & in_title))), out
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
@@ -155,14 +173,8 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
     def each(batches):
         for rows in batches:
-            titles, found = [], []
-            for html in rows.column("html").to_pylist():
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser.close()
-                parser.cut()
-                titles.append(unescape("".join(parser.title)))
-                found.append(parser.out)
+            read = [_page(html or "") for html in rows.column("html").to_pylist()]
+            titles, found = [t for t, _ in read], [b for _, b in read]
             yield pa.RecordBatch.from_arrays([rows.column("page_id"), pa.array(titles, pa.string()), pa.array(found, block)], names=["page_id", "title", "blocks"])
 
     cut = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(each, "page_id long, title string, blocks array<struct<kind string, level int, text string>>")

@@ -1,5 +1,8 @@
 """Reading documents: values written out by hand."""
 
+import re
+from html import unescape
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,20 @@ def test_html_blocks(spark):
     got = [tuple(r) for r in documents.html_blocks(pages).orderBy("page_id", "block").collect()]
     want = [("furniture", 0, "Home"), ("heading", 2, "Menu"), ("body", 0, "Top"), ("heading", 1, "A & B"), ("body", 0, "One two\nthree"), ("body", 0, "Term"), ("body", 0, "Meaning"), ("body", 0, "i"), ("body", 0, "j"), ("furniture", 0, "Foot"), ("body", 0, "tail")]
     assert got == [(1, "T & U", i, *w) for i, w in enumerate(want, 1)]
+
+
+def test_html_blocks_of_the_table(spark):
+    """Every page's text, in order, against cutting its source by patterns."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got: dict[int, list] = {}
+    for r in documents.html_blocks(pages).orderBy("page_id", "block").collect():
+        got.setdefault(r["page_id"], []).append(r)
+    for p in pages.collect():
+        source = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", p["html"])
+        title = re.search(r"(?s)<title>(.*?)</title>", source)
+        source = re.sub(r"(?s)<(script|style|head|svg|noscript|template)\b.*?</\1>", "", source)
+        blocks = re.split(r"</?(?:p|div|section|article|li|tr|td|th|blockquote|pre|dd|dt|figcaption|header|footer|main|table|ul|ol|dl|h[1-6]|br|hr|nav|aside)\b[^>]*>", source)
+        plain = [" ".join(unescape(unescape(re.sub(r"<[^>]*>", "", b))).split()) for b in blocks]
+        assert [" ".join(r["text"].split()) for r in got[p["page_id"]]] == [b for b in plain if b]
+        assert sum(r["kind"] == "heading" for r in got[p["page_id"]]) == len([h for h in re.findall(r"(?s)<h[1-6]\b[^>]*>(.*?)<", source) if h.strip()])
+        assert " ".join(got[p["page_id"]][0]["title"].split()) == " ".join(unescape(title[1]).split())
