@@ -7,27 +7,15 @@ from pyspark.sql.window import Window
 
 from tarnwick.functions import lists, scalars
 from tarnwick.operators import documents, retrieval, surface, wording
-from tarnwick.plans import agreements, contracts, expense_queries, library, map_queries, obligation_queries, review_queries, service_queries, text_queries, value_queries  # noqa: F401 (registers their queries)
+from tarnwick.plans import agreements, contracts, expense_queries, gate_queries, library, map_queries, obligation_queries, review_queries, service_queries, text_queries, value_queries  # noqa: F401 (registers their queries)
 from tarnwick.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tarnwick.plans.rules import apply
+from tarnwick.plans.service_sql import SERVICE
 from tarnwick.sources import claim_facts, hour_facts, service_facts, table
 
 FLAGSHIP = "service_credit"
 
 
-SERVICE = """
-facts as (
-  select o_orderkey, cast((10000 - bp) / 100.0 as decimal(9,2)) availability, cast(o_totalprice as decimal(18,2)) charge,
-         cast(o_orderkey % 60 as int) arrears_days, o_orderkey % 3 <> 0 undisputed
-  from orders join (select l_orderkey, sum(cast(round(l_discount * 100) as bigint)) * 100 // count(*) bp from lineitem group by 1) on l_orderkey = o_orderkey),
-credits as (
-  select *, case when availability < 99.90 and undisputed and arrears_days > 30 then 0.00 when availability < 95 then 0.50 when availability < 98 then 0.30
-    when availability < 99 then 0.20 when availability < 99.5 then 0.10 when availability < 99.9 then 0.05 else 0.00 end credit,
-    case when availability < 95 then 0.50 else 0.30 end cap,
-    case when availability < 99.90 and undisputed and arrears_days > 30 then 'arrears' when availability < 95 then 'deep' when availability < 99.9 then 'bands' else 'none' end branch
-  from facts)"""
-
-
 @query(f"""with {SERVICE}
 select o_orderkey, cast(availability as double) availability, cast(credit as double) credit, cast(least(credit, cap) as double) payable,
   cast(round(charge * least(credit, cap), 2) as double) amount, cast(null as varchar) err, branch from credits""")
