@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: How terms, definitions and quantities are written, and words that are no subject.
 QUOTED = r'"([^"]{2,80})"'
@@ -85,12 +86,20 @@ def numeric_divergence(incoming: DataFrame, existing: DataFrame, block: int = BL
 
 
 def term_redefinition(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """ref, existing_ref and term: a term that both define, in other words. White space doesn't count. A definition that
-    many clauses repeat word for word is one row on each side until the end."""
+    """ref, term, existing_ref and others: an incoming clause that defines a term in other words than ``others`` existing
+    ones do, the first of which is named. White space doesn't count.
+
+    Clauses of one wording are one row for the term before anything is joined, and of a term's wordings the two that come
+    first are enough to name one that differs: a term that everybody defines makes no pairs."""
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    a = incoming.select("ref", flat.alias("said"), F.explode(defined(F.col("text"))).alias("term"))
-    b = existing.select(F.col("ref").alias("existing_ref"), flat.alias("was"), F.explode(defined(F.col("text"))).alias("term"))
-    return a.join(b, "term").where("said <> was").select("ref", "existing_ref", "term")
+    said = lambda rows: rows.select("ref", flat.alias("said"), F.explode(defined(F.col("text"))).alias("term"))
+    wordings = said(existing).groupBy("term", "said").agg(F.min("ref").alias("first"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy("first", "said"))
+    two = wordings.withColumn("place", place).where("place <= 2").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("first", "said"))).alias("two"))
+    totals = wordings.groupBy("term").agg(F.sum("n").alias("total")).join(two, "term")
+    out = said(incoming).join(totals, "term").join(wordings.select("term", "said", "n"), ["term", "said"], "left")
+    named = F.get(F.filter("two", lambda w: w["said"] != F.col("said")), F.lit(0))["first"]
+    return out.select("ref", "term", named.alias("existing_ref"), (F.col("total") - F.coalesce("n", F.lit(0))).alias("others")).where("others > 0")
 
 
 def duplicate_encoding(incoming: DataFrame, encoded: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def numeric_divergences(spark, sf_dir):
 
 
 @query("""with d as (select p_partkey, p_name, p_brand, p_size > 25 as incoming from part)
-select 'P-' || a.p_partkey ref, 'P-' || b.p_partkey existing_ref, lower(a.p_name) term from d a join d b on a.p_name = b.p_name and a.incoming and not b.incoming and a.p_brand <> b.p_brand""")
+select 'P-' || a.p_partkey ref, lower(a.p_name) term, min('P-' || b.p_partkey) existing_ref, count(*)::bigint "others" from d a join d b on a.p_name = b.p_name and a.incoming and not b.incoming and a.p_brand <> b.p_brand group by all""")
 def term_redefinitions(spark, sf_dir):
     """Names that parts define in other words than other parts do."""
     text = F.concat(F.lit('"'), F.col("p_name"), F.lit('"  means what\n'), F.col("p_brand"), F.lit(" sells."))

@@ -47,7 +47,9 @@ def test_pairs_are_those_of_all_comparisons(spark, block):
 def test_definitions_and_encodings(spark):
     old = spark.createDataFrame([("o1", 'A "Fee" means  money.'), ("o2", '"Day" means a day.'), ("o3", None)], TEXT)
     new = spark.createDataFrame([("n1", 'A "fee" means money.\n'), ("n2", 'A "Fee" means money.'), ("n3", '"day" means a working day.')], TEXT)
-    assert sorted(map(tuple, conflicts.term_redefinition(new, old).collect())) == [("n1", "o1", "fee"), ("n3", "o2", "day")]
+    new = new.union(spark.createDataFrame([("n4", '"Fee" means nothing.')], TEXT))
+    old = old.union(spark.createDataFrame([("o0", '"Fee" means nothing.'), ("o4", 'A "Fee" means money.'), ("o5", '"fee" means all.')], TEXT))
+    assert sorted(map(tuple, conflicts.term_redefinition(new, old).collect())) == [("n1", "fee", "o0", 4), ("n2", "fee", "o0", 2), ("n3", "day", "o2", 1), ("n4", "fee", "o1", 3)]
     encoded = spark.createDataFrame([("n1", "b"), ("n1", "a"), ("n1", "b"), ("x", "a")], "ref string, module string")
     assert [tuple(r) for r in conflicts.duplicate_encoding(new, encoded).collect()] == [("n1", ["a", "b"])]
 
