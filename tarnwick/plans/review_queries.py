@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import review
+from tarnwick.operators import documents, review, rivals
 from tarnwick.plans.registry import query
 from tarnwick.sources import table
 
@@ -61,3 +61,34 @@ def watch_claims(spark, sf_dir):
     mine = review.claimed(review.released(state, NOW), NOW, 100)
     results = mine.where(f"status = 'checking' and heartbeat = {NOW} and (key % 4 != 1 or key % 5000 != 0)").selectExpr("key", "case when key % 10 = 0 then 'then' else 'now' end fingerprint", "key % 2 = 0 complete")
     return review.settled(mine, results, NOW).select("key", "status", "attempts", "retry_after")
+
+
+@query("""with t as (select vec_id, embedding::double[] e, row_number() over (order by vec_id) - 1 as nth from embeddings where vec_id % 20 = 0),
+s as (select t.vec_id q, nth, v.vec_id item_id, round(list_cosine_similarity(e, v.embedding::double[]), 6) score from t, embeddings v where v.vec_id <> t.vec_id),
+n as (select *, row_number() over (partition by q order by score desc, item_id) r from s qualify r <= 4),
+o as (select nth // 5 as batch, item_id, min(r * 1000000 + nth) turn from n group by all)
+select batch::bigint batch, cast(row_number() over (partition by batch order by turn, item_id) as int) place, item_id from o qualify place <= 14""")
+def nearest_rivals(spark, sf_dir):
+    """What a review of five vectors at a time sees of all others: their nearest in turn."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") / 20).cast("long").alias("at"), "e")
+    return rivals.interleaved(targets, v.withColumnRenamed("vec_id", "item_id")).select("batch", "place", "item_id")
+
+
+@query("""with c as (select doc_id::varchar ref, doc_id % 50 as document, doc_id clause_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) t from documents),
+f as (select a.document, case when a.clause_id % 11 = 0 then -1 else a.clause_id end clause_id, b.ref corpus_ref, b.document of, a.t own, b.t old, k, a.clause_id n from c a cross join (values (0), (1), (2)) x(k) left join c b on b.clause_id = case when a.clause_id % 13 = 0 then -5 when a.clause_id % 17 = 0 then a.clause_id - 50 else a.clause_id - 1 - a.clause_id % 7 end),
+r as (select document, clause_id, corpus_ref, k, case when clause_id = -1 then 'no clause of the new document' when corpus_ref is null then 'no clause of another document' when of = document then 'cites the document against itself'
+  when k = 1 and n % 2 = 0 or trim(substr(own, 3, 40)) = '' then 'quote not in the new clause' when trim(substr(old, 5, 30)) = '' then 'quote not in the existing clause' when k = 2 and n % 3 > 0 then 'says nothing' end reason from f)
+select document::bigint document, clause_id::bigint clause_id, corpus_ref, array_to_string(list_sort(list_distinct(list(k))), ',') raised_by, case when count(distinct k) >= 2 then 'corroborated' else 'single' end status from r where reason is null group by document, clause_id, corpus_ref""")
+def findings_consensus(spark, sf_dir):
+    """Findings of three reviewers about documents: quotes are looked for in both texts, and two have to agree."""
+    t = table(spark, sf_dir, "documents")
+    clauses = t.select(F.col("doc_id").cast("string").alias("ref"), F.col("doc_id").alias("clause_id"), (F.col("doc_id") % 50).alias("document"), "text")
+    flat = documents.collapsed(F.coalesce("text", F.lit("")))
+    old = clauses.select(F.col("clause_id").alias("_at"), F.col("ref").alias("_ref"), F.substring(flat, 5, 30).alias("corpus_quote"))
+    n = F.col("clause_id")
+    raised = clauses.select("document", "clause_id", F.when(n % 13 != 0, F.when(n % 17 == 0, n - 50).otherwise(n - 1 - n % 7)).alias("_at"), F.substring(flat, 3, 40).alias("own"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("attacker")).join(old, "_at", "left")
+    quote = F.when((F.col("attacker") == 1) & (n % 2 == 0), F.concat(F.lit("☃"), "own")).otherwise(F.lower("own"))
+    findings = raised.select("document", F.when(n % 11 == 0, F.lit(-1)).otherwise(n).cast("long").alias("clause_id"), F.coalesce("_ref", F.lit("none")).alias("corpus_ref"), quote.alias("quote"), "corpus_quote", F.when((F.col("attacker") == 2) & (n % 3 > 0), " ").otherwise("differs").alias("summary"), "attacker")
+    out = rivals.consensus(rivals.verified(findings, clauses))
+    return out.select("document", "clause_id", "corpus_ref", F.array_join(F.transform("raised_by", lambda a: a.cast("string")), ",").alias("raised_by"), "status")
