@@ -212,8 +212,7 @@ select query_id, doc_id, score, cast(row_number() over (partition by query_id or
 def lexical_search_all(spark, sf_dir):
     """The five best documents for every benchmark item."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = retrieval.lexical_scores(asked, table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
-    return retrieval.best(scores, "query_id", "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+    return retrieval.lexical_best(asked, table(spark, sf_dir, "documents"), 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("""with q as (select vec_id query_id, embedding::double[] e from embeddings where vec_id % 20 = 0),
