@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tarnwick.functions import lists, scalars
 from tarnwick.operators import documents, retrieval, surface, wording
-from tarnwick.plans import agreements, contracts, expense_queries, gate_queries, index_queries, library, map_queries, obligation_queries, review_queries, service_queries, text_queries, value_queries  # noqa: F401 (registers their queries)
+from tarnwick.plans import agreements, contracts, expense_queries, gate_queries, index_queries, library, literate_queries, map_queries, obligation_queries, review_queries, service_queries, text_queries, value_queries  # noqa: F401 (registers their queries)
 from tarnwick.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tarnwick.plans.rules import apply
 from tarnwick.plans.service_sql import SERVICE
