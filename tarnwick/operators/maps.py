@@ -6,15 +6,16 @@ by a cap, is the grid: it never grows with a table. Regions are cells that are d
 
 A case belongs to the region of its nearest cell, by the sum of distances along the numeric axes; other axes must be
 equal. That sum is least where each distance is, so a case is snapped to each axis by itself; only where the snapped
-cells are incoherent, and so not on the map, are all cells tried. Either way one row is met by one small broadcast
-table, and no pair of a case and a cell is ever a row.
+cells are incoherent, and so not on the map, are all cells tried. What a case snaps to is a number for each axis, which
+meets a small broadcast table of first places by equality; no pair of a case and a cell is ever a row.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 from itertools import product
 from math import prod
 
@@ -136,49 +137,47 @@ def locate(cases: DataFrame, scope: Scope, domain: Domain, cap: int = 640) -> Da
     then of the first cell. Null where no cell agrees on the axes that are no numbers, or a fact is null. Inputs that the
     table lacks are no axes."""
     axes = {n: v for n, v in _axes(scope, domain, cap).items() if n in cases.columns}
-    numeric = [n for n in sorted(axes) if domain.inputs[n].numeric]
+    ticks = {n: sorted({Decimal(v).quantize(Decimal("0.000001"), ROUND_HALF_UP) for v in axes[n]}) for n in sorted(axes) if domain.inputs[n].numeric}
     other = [n for n in sorted(axes) if not domain.inputs[n].numeric]
-    said = lambda of: F.concat_ws("|", *(of(n).cast("string") for n in other), *(of(n).cast(EXACT).cast("string") for n in numeric))
-    place = F.struct("region", "ordinal")
-    on_map = surface(cases.sparkSession, scope, domain, cap).select(said(F.col).alias("key"), *(F.col(n).cast(EXACT).alias(n) for n in numeric), F.concat_ws("|", *(F.col(n).cast("string") for n in other)).alias("same"), place.alias("place"))
-    # One row, bounded by the cap: the first place of each cell of the axes at hand, and all cells.
-    first = on_map.groupBy("key").agg(F.min("place").alias("place"))
-    one = first.agg(F.map_from_entries(F.collect_list(F.struct("key", "place"))).alias("_at")).join(F.broadcast(on_map.agg(F.collect_list(F.struct("same", *numeric, "place")).alias("_all"))))
-    rows = cases.join(F.broadcast(one))
-    x = {n: F.col(n).cast(EXACT) for n in numeric}
-    apart = {n: F.array_min(F.transform(F.array(*(F.lit(v).cast(EXACT) for v in axes[n])), _distance(x[n]))) for n in numeric}
-    rows = rows.withColumns({f"_d_{n}": d for n, d in apart.items()})
-    keys = F.array(F.concat_ws("|", *(F.col(n).cast("string") for n in other)) if other else F.lit(""))
-    for k, n in enumerate(numeric):
-        near = F.filter(F.array(*(F.lit(v).cast(EXACT) for v in axes[n])), _as_near(x[n], F.col(f"_d_{n}")))
-        keys = _extended(keys, near, bool(other) or k > 0)
+    on_map = surface(cases.sparkSession, scope, domain, cap).select(*(F.col(n).cast(EXACT).alias(n) for n in ticks), *(F.col(n).cast("string").alias(f"_o_{n}") for n in other), F.struct("region", "ordinal").alias("_place"))
+    # The first place for each way of lying at or between the ticks: a cell is nearest at its ticks and midway to the next.
+    first, at = on_map, [*(f"_o_{n}" for n in other), *(f"_s_{n}" for n in ticks)]
+    for n, values in ticks.items():
+        own = _stretch(F.col(n), values)
+        first = first.withColumn(f"_s_{n}", F.explode(F.array(own - 1, own, own + 1)))
+    first = first.groupBy(F.lit(True).alias("_known"), *at).agg(F.min("_place").alias("_place"))
+    x = {n: F.col(n).cast(EXACT) for n in ticks}
     known = F.lit(True)
-    for n in (*numeric, *other):
+    for n in (*ticks, *other):
         known = known & F.col(n).isNotNull()
-    rows = rows.withColumn("_keys", F.when(known, keys))
-    snapped = F.array_min(F.filter(F.transform("_keys", lambda k: F.try_element_at("_at", k)), lambda p: p.isNotNull()))
-    rows = rows.withColumn("_snapped", snapped)
-    total = sum((F.col(f"_d_{n}") for n in numeric), F.lit(0).cast(EXACT))
-    own = F.concat_ws("|", *(F.col(n).cast("string") for n in other))
-    alike = F.filter("_all", lambda c: c["same"] == own)
-    tried = F.array_min(F.transform(alike, lambda c: F.struct(sum((F.abs(c[n] - x[n]) for n in numeric), F.lit(0).cast(EXACT)).alias("d"), c["place"].alias("place"))))
-    best = F.when(F.col("_snapped").isNotNull(), F.struct(total.alias("d"), F.col("_snapped").alias("place"))).when(known, tried)
-    out = rows.withColumn("_best", best)
-    return out.select(*cases.columns, F.col("_best.place.region").alias("region"), F.col("_best.place.ordinal").alias("ordinal"), F.col("_best.d").alias("distance"))
-
-
-def _distance(x: Column):
-    return lambda v: F.abs(v - x)
-
-
-def _as_near(x: Column, least: Column):
-    return lambda v: F.abs(v - x) == least
-
-
-def _extended(keys: Column, values: Column, bar: bool) -> Column:
-    """Every key with every value: more than one value only where a case lies midway."""
-    add = lambda k: F.transform(values, lambda v: F.concat(k, F.lit("|" if bar else ""), v.cast("string")))
-    return F.flatten(F.transform(keys, add))
+    rows = cases.withColumns({"_known": known, **{f"_o_{n}": F.col(n).cast("string") for n in other}, **{f"_s_{n}": _stretch(x[n], values) for n, values in ticks.items()}})
+    rows = rows.join(F.broadcast(first), ["_known", *at], "left")
+    # All cells, in one row bounded by the cap, go to those cases only whose snapped cells are incoherent.
+    same = [F.col(f"_o_{n}") for n in other]
+    every = on_map.agg(F.collect_list(F.struct(*same, *ticks, "_place")).alias("_all")).withColumn("_lost", F.lit(True))
+    rows = rows.withColumn("_lost", F.when(F.col("_known") & F.col("_place").isNull(), True)).join(F.broadcast(every), "_lost", "left")
+    alike = F.filter("_all", lambda c: reduce(lambda t, n: t & (c[f"_o_{n}"] == F.col(f"_o_{n}")), other, F.lit(True)))
+    tried = F.array_min(F.transform(alike, lambda c: F.struct(sum((F.abs(c[n] - x[n]) for n in ticks), F.lit(0).cast(EXACT)).alias("d"), c["_place"].alias("place"))))
+    rows = rows.withColumn("_tried", F.when(F.col("_lost"), tried))
+    place = F.coalesce("_place", "_tried.place")
+    total = sum((_apart(x[n], values) for n, values in ticks.items()), F.lit(0).cast(EXACT))
+    distance = F.when(F.col("_place").isNotNull(), total).otherwise(F.col("_tried.d"))
+    return rows.select(*cases.columns, place["region"].alias("region"), place["ordinal"].alias("ordinal"), distance.alias("distance"))
+
+
+def _stretch(x: Column, ticks: list[Decimal]) -> Column:
+    """Twice the place of the nearest of ascending ticks, from 0; an odd number is midway between two."""
+    out = None
+    for k, both in enumerate(a + b for a, b in zip(ticks, ticks[1:])):
+        out = (F.when if out is None else out.when)(x + x < F.lit(both), 2 * k).when(x + x == F.lit(both), 2 * k + 1)
+    last = F.lit(2 * len(ticks) - 2)
+    return last if out is None else out.otherwise(last)
+
+
+def _apart(x: Column, ticks: list[Decimal]) -> Column:
+    """How far the nearest tick is."""
+    each = [F.abs(F.lit(t).cast(EXACT) - x) for t in ticks]
+    return F.least(*each) if len(each) > 1 else each[0]
 
 
 def populate(cases: DataFrame, scope: Scope, domain: Domain, cap: int = 640) -> DataFrame:

@@ -71,3 +71,19 @@ def test_typed_predicates(spark):
     got = first_firing(rows, ps).orderBy("k").collect()
     assert [(r["predicate"], r["amount"]) for r in got] == [("small", Decimal("0.5")), ("any", None)]
     assert [r[0] for r in rows.orderBy("k").select(Predicate("p", ("k > 0",), "d", "3").movement(rows.schema, {"d": "company"})).collect()] == ["against", "for"]
+
+
+def test_cases_carry_no_map(spark):
+    """All cells go only to the cases that are lost among incoherent ones, not to each case."""
+    cases = spark.range(100).selectExpr("cast(id % 31 as int) x", "cast(id % 6 as decimal(9,3)) y", "id % 2 = 0 flag")
+    for out in (maps.locate(cases, SCOPE, DOMAIN).select("region"), maps.populate(cases, SCOPE, DOMAIN)):
+        loops = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "NestedLoopJoin" in x]
+        assert all("LeftOuter, _lost" in x for x in loops)
+
+
+def test_axes_of_one_value_and_none(spark):
+    one = maps.Domain({"x": maps.Input("int", probe=("5",)), "y": maps.Input("decimal(9,2)", probe=("2",)), "flag": maps.Input("boolean")})
+    scope = Scope("scope", {"out": "int"}, (D("out", "1", "flag", "yes"), D("out", "2", "not flag", "no")))
+    cases = spark.createDataFrame([(1, 7, Decimal(1), True), (2, 5, None, True), (3, 0, Decimal(2), False)], "k int, x int, y decimal(9,3), flag boolean")
+    got = {r["k"]: (r["region"], r["distance"]) for r in maps.locate(cases, scope, one).collect()}
+    assert got == {1: (2, 3), 2: (None, None), 3: (1, 5)}
