@@ -43,8 +43,10 @@ def routes(scores: DataFrame, encodes: DataFrame, k: int = 3, supports: int = 3,
     best = by.withColumn("place", F.row_number().over(of_query)).where(F.col("place") <= k)
     first = of_query.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     best = best.withColumns({"_gap": F.first("score").over(first) - F.col("score"), "_ref": F.first(F.col("_rows")[0]["ref"]).over(first)})
-    known = encodes.select("scope", F.col("ref").alias("_ref"), F.lit(True).alias("_encodes")).distinct()
-    best = best.join(known, ["scope", "_ref"], "left")
+    # As large as the corpus: what is asked for is little, so that side may be broadcast, and this one never.
+    asked = best.where("place = 1").select("_ref").distinct()
+    known = encodes.select("scope", F.col("ref").alias("_ref")).join(asked, "_ref", "left_semi").groupBy("scope", "_ref").agg(F.lit(True).alias("_encodes"))
+    best = best.join(known.hint("merge"), ["scope", "_ref"], "left")
     near = F.transform(F.filter("_rows", lambda r: F.col("score") - r["score"] <= spread), lambda r: r["ref"])
     close = (F.col("_gap") < margin) | (F.coalesce("_encodes", F.lit(False)) & (F.col("_gap") < shared))
     return best.select("query_id", "scope", "score", "place", near.alias("supports"), close.alias("close"))

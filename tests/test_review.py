@@ -47,3 +47,20 @@ def test_merge_gate(spark):
     proposals = spark.createDataFrame([(1, "h", "h", "title: x"), (2, None, "h", None), (3, "h", "h", None)], "proposal int, pinned string, current string, head string")
     conflicts = spark.createDataFrame([(1, True, "kept", "me"), (3, True, None, "me"), (3, False, None, None)], "proposal int, blocking boolean, resolution string, resolved_by string")
     assert {r["proposal"]: r["refusals"] for r in review.merge_gate(proposals, conflicts).collect()} == {1: [], 2: ["drifted"], 3: ["unresolved"]}
+
+
+def test_what_scopes_encode_is_not_broadcast(spark, tmp_path):
+    """It is as large as the corpus, however small its file looks before its rows are multiplied."""
+    spark.range(20_000).selectExpr("id % 50 query_id", "id % 7 scope", "id ref", "id % 1000 / 1000 score").write.parquet(f"{tmp_path}/scores")
+    scores = spark.read.parquet(f"{tmp_path}/scores")
+    encodes = scores.select("ref").crossJoin(spark.range(7).withColumnRenamed("id", "scope")).where("scope % 2 = ref % 2")
+    out = review.routes(scores, encodes)
+    rows = {(r["query_id"], r["place"]): (r["scope"], r["close"]) for r in out.collect()}
+    for q in range(50):
+        best = sorted(((-max(i % 1000 for i in range(q, 20_000, 50) if i % 7 == s), s) for s in range(7)))[:3]
+        ref = min(i for i in range(q, 20_000, 50) if i % 7 == best[0][1] and i % 1000 == -best[0][0])
+        for n, (score, s) in enumerate(best, 1):
+            gap = (score - best[0][0]) / 1000
+            assert rows[q, n] == (s, gap < 0.02 or (gap < 0.04 and s % 2 == ref % 2))
+    joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x and "LeftOuter" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
