@@ -457,3 +457,21 @@ def test_toxicity_is_the_same_over_tasks(spark):
         assert chain.vocabulary == chains[0].vocabulary
         for (b1, w1, e1), (b2, w2, e2) in zip(chain.models, chains[0].models, strict=True):
             assert b1 == b2 and (w1 == w2).all() and (e1 == e2).all()
+
+
+def test_range_join_bounds_both_sides(spark, monkeypatch):
+    """Where no pivot excludes anything, what comes to a cell from outside is dealt by blocks too."""
+    g = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, [float(z) for z in x]) for k, x in enumerate(g.normal(size=(1500, 6)))], "vec_id long, embedding array<double>")
+    kind, dealt = type(rows), []
+    whole = kind.mapInArrow
+
+    def noted(self, f, schema, *rest, **more):
+        out = whole(self, f, schema, *rest, **more)
+        dealt.extend([out] if "side" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    assert range_join.near_duplicates(rows, cell=150, block=150).count() == 1500
+    assert dealt[0].groupBy("cell", "i", "j", "side").count().agg({"count": "max"}).first()[0] < 300
+    assert [range_join.block_of(n, 64, 12) for n in (100, 100_000, 10**7)] == [4096, 14285, 32768]
