@@ -120,15 +120,22 @@ def intersection(p: Column, q: Column) -> Column:
     return F.when(overlaps(p, q), period(F.greatest(p["begin"], q["begin"]), F.least(p["end"], q["end"])))
 
 
+def months_of(p: Column) -> Column:
+    """The places, from 0, of the months that a period splits into: none of a single day, and an end on the first of a
+    month stays in the month before."""
+    last = F.date_sub(p["end"], 1)
+    n = (F.year(last) - F.year(p["begin"])) * 12 + F.month(last) - F.month(p["begin"])
+    return F.when(p["begin"] < p["end"], F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+
+
+def month_part(p: Column, n: Column) -> Column:
+    """The part of a period in its month of that place; days only, so that parts of exploded places compile."""
+    start = F.trunc(p["begin"], "MM")
+    after = F.add_months(start, n + 1)
+    return period(F.greatest(F.add_months(start, n), p["begin"]), F.when(after >= p["end"], p["end"]).otherwise(F.date_sub(after, 1)))
+
+
 def split_by_month(p: Column) -> Column:
     """An array of periods. One of a single day gives none, and an end on the first of a month stays in the month
-    before."""
-    starts = F.sequence(F.trunc(p["begin"], "MM"), F.trunc(F.date_sub(p["end"], 1), "MM"), F.expr("interval 1 month"))
-    clipped = F.transform(
-        starts,
-        lambda m: period(
-            F.greatest(m.cast("date"), p["begin"]),
-            F.when(F.add_months(m, 1) >= p["end"], p["end"]).otherwise(F.date_sub(F.add_months(m, 1), 1)),
-        ),
-    )
-    return F.when(p["begin"] < p["end"], clipped).otherwise(F.filter(F.array(p), lambda _: F.lit(False)))
+    before. Where parts become rows, explode ``months_of`` and take each ``month_part`` instead."""
+    return F.transform(months_of(p), lambda n: month_part(p, n))

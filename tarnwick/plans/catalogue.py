@@ -89,7 +89,9 @@ m as (select *, unnest(generate_series(date_trunc('month', b)::timestamp, date_t
 select l_orderkey, l_linenumber, greatest(f, b)::date::varchar part_begin, (case when cast(f + interval 1 month as date) >= e then e else cast(f + interval 1 month as date) - 1 end)::date::varchar part_end from m""")
 def period_split(spark, sf_dir):
     f = claim_facts(spark, sf_dir)
-    parts = f.select("l_orderkey", "l_linenumber", F.explode(scalars.split_by_month(scalars.period(F.col("incurred"), F.col("submitted")))).alias("p"))
+    whole = scalars.period(F.col("incurred"), F.col("submitted"))
+    places = f.select("l_orderkey", "l_linenumber", "incurred", "submitted", F.explode(scalars.months_of(whole)).alias("n"))
+    parts = places.select("l_orderkey", "l_linenumber", scalars.month_part(whole, F.col("n")).alias("p"))
     return parts.select("l_orderkey", "l_linenumber", F.col("p.begin").cast("string").alias("part_begin"), F.col("p.end").cast("string").alias("part_end"))
 
 

@@ -66,3 +66,11 @@ def test_gates(spark):
     assert report["shift_threshold:1:y:high:4"] == 1 and report["drop_exception:2:y:never"] == 0 and report["change_constant:0:y:low"] == 2
     same = Scope("s", {"y": "int"}, (D("y", "case when x > 5 then 2 else 1 end", "x >= 4", "one"),), ("x >= 0",))
     assert gates.disagreements(scope, same, facts, ["y"]).count() == 0 and gates.disagreements(scope, scope.without("high"), facts, ["y"]).count() == 4
+
+
+def test_rows_of_values_compile(spark):
+    """Queries over whole tables bind and split by columns and rows; a lambda over them would run uncompiled."""
+    from tarnwick.plans import catalogue
+
+    plan = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "lambda" not in plan("period_split")
