@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions import scalars
@@ -28,11 +28,14 @@ NUMBERS = ("int", "rat", "money")
 
 @dataclass(frozen=True)
 class Checked:
-    """``kind``: a name of KINDS, ``list of`` one, ``function`` or a Spark type. ``leaf``: it may be written out twice."""
+    """``kind``: a name of KINDS, ``list of`` one, ``function`` or a Spark type. ``leaf``: it may be written out twice. ``step`` of
+    ``operands``: how it comes about, for ``staged``."""
 
     kind: str
     both: Column
     leaf: bool = False
+    operands: tuple[Checked, ...] = ()
+    step: Callable[..., Column] | None = None
 
     @property
     def value(self) -> Column:
@@ -74,10 +77,35 @@ def failing(code: str, kind: str) -> Checked:
 def bound(operands: tuple[Checked, ...], step: Callable[..., Column], kind: str) -> Checked:
     """``step`` of the operands, each written out once."""
     if all(o.leaf for o in operands):
-        return Checked(kind, step(*operands))
+        return Checked(kind, step(*operands), False, operands, step)
     once = F.array(F.struct(*(o.both.alias(f"o{k}") for k, o in enumerate(operands))))
     done = F.transform(once, lambda s: step(*(Checked(o.kind, s[f"o{k}"], True) for k, o in enumerate(operands))))
-    return Checked(kind, F.get(done, F.lit(0)))
+    return Checked(kind, F.get(done, F.lit(0)), False, operands, step)
+
+
+def staged(facts: DataFrame, results: dict[str, Checked]) -> tuple[DataFrame, dict[str, Checked]]:
+    """The facts with a column for every operation that the results are made of, each after its operands, and the results
+    in terms of these. What ``bound`` writes as lambdas in one expression, which run uncompiled, becomes projections."""
+    levels: list[dict[int, Checked]] = []
+    depth: dict[int, int] = {}
+
+    def place(c: Checked) -> int:
+        if c.step is None:
+            return -1
+        if id(c) not in depth:
+            depth[id(c)] = at = 1 + max((place(o) for o in c.operands), default=-1)
+            while len(levels) <= at:
+                levels.append({})
+            levels[at][id(c)] = c
+        return depth[id(c)]
+
+    for c in results.values():
+        place(c)
+    names = {n: f"_c{k}" for k, n in enumerate(depth)}
+    named = lambda c: Checked(c.kind, F.col(names[id(c)]), True) if id(c) in names else c
+    for level in levels:
+        facts = facts.withColumns({names[n]: c.step(*map(named, c.operands)) for n, c in level.items()})
+    return facts, {n: named(c) for n, c in results.items()}
 
 
 def operation(kind: str, value: Callable[..., Column], *operands: Checked, fails: Callable[..., Column] | None = None) -> Checked:

@@ -14,7 +14,8 @@ from tarnwick.sources import table
 def _told(facts, keys: list[str], **results: c.Checked):
     """A column for each result and one for its error; decimals as doubles."""
     show = lambda r: r.value.cast("double") if r.kind in ("rat", "money") else r.value.cast("string") if r.kind == "date" else r.value
-    facts = facts.withColumns({f"_{n}": r.both for n, r in results.items()})
+    facts, staged = c.staged(facts, results)
+    facts = facts.withColumns({f"_{n}": r.both for n, r in staged.items()})
     done = {n: c.Checked(r.kind, F.col(f"_{n}")) for n, r in results.items()}
     return facts.select(*keys, *(x for n, r in done.items() for x in (show(r).alias(n), r.err.alias(f"{n}_err"))))
 
