@@ -15,15 +15,18 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.plans.rules import Definition, Scope, apply
+from tarnwick.plans.rules import Definition, Scope, apply, decided, governing
 
 #: Between the name of a call and the callee's variable.
 IN = "__"
+#: Ways that the elements of one key are dealt out before lists are cut.
+DEALT = 16
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*|.", re.S)
 
 
@@ -121,23 +124,41 @@ def call_each(name: str, scope: Scope, elements: DataFrame, key: list[str], orde
     which has to tell all elements apart. ``most``: a place that the callee refuses to go beyond, if there is one: nothing
     after the first such element can matter, so that no more of a list is sorted."""
     if place:
+        if most:  # dealt out before its lists are cut, so that no task sorts more than its share, whatever a file's parts hold
+            elements = elements.repartition(*key, F.pmod(F.xxhash64(*order), F.lit(DEALT)))
         elements = elements.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
         if most:
             elements = elements.where(F.col(place) <= most + 1)
-    at = F.struct(*order)
-    done = run(scope, elements)
-    # One way of deciding is one row, however many elements took it.
-    ways = done.groupBy(*key, "governing").agg(
-        F.min(F.when(F.col("err").isNotNull(), F.struct(at.alias("at"), "err"))).alias("failed"),
-        F.min(at).alias("at"),
-        *(c.alias(f"_{n}") for n, c in totals.items()),
-    )
+    at = F.col(place) if place else _in_one(elements, order)
+    done = decided(scope, elements)
+    # One way of deciding, or of failing, is one row, however many elements took it. Its key is the branches as they are
+    # and its place a number, so that rows are hashed as they come and not sorted.
+    branches = [F.col(f"_{v}.branch").alias(f"_b_{v}") for v in scope.order]
+    ways = done.groupBy(*key, F.col("err").alias("_err"), *branches).agg(F.min(at).alias("at"), *(c.alias(f"_{n}") for n, c in totals.items()))
+    dotted = lambda x: F.replace(x, F.lit(IN), F.lit("."))
+    said = F.transform(governing(scope, lambda v: F.col(f"_b_{v}")), lambda g: F.struct(dotted(g["variable"]).alias("variable"), dotted(g["branch"]).alias("branch")))
+    failed = F.when(F.col("_err").isNotNull(), F.struct("at", F.col("_err").alias("err")))
+    ways = ways.select(*key, "at", failed.alias("failed"), said.alias("governing"), *(f"_{n}" for n in totals))
     ordered = F.array_sort(F.collect_list(F.struct("at", "governing")))
     named = F.transform(F.flatten(F.transform(ordered, lambda w: w["governing"])), lambda g: F.struct(F.concat(F.lit(f"{name}{IN}"), g["variable"]).alias("variable"), g["branch"].alias("branch")))
     out = ways.groupBy(*key).agg(F.min("failed")["err"].alias(f"{name}{IN}err"), F.array_distinct(named).alias(f"{name}{IN}governing"), *(F.sum(f"_{n}").alias(n) for n in totals))
     return out.withColumns({n: F.when(F.col(f"{name}{IN}err").isNull(), F.col(n)) for n in totals})
 
 
+def _in_one(rows: DataFrame, order: list[str]) -> Column:
+    """The order as one number where whole numbers fit 38 digits, else as a struct."""
+    digits = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 20}
+    kinds = [rows.schema[c].dataType.simpleString() for c in order]
+    if not all(k in digits for k in kinds) or sum(digits[k] for k in kinds) > 38:
+        return F.struct(*order)
+    least = {"tinyint": 128, "smallint": 32768, "int": 1 << 31, "bigint": 1 << 63}
+    out = F.lit(0).cast("decimal(38,0)")
+    for c, k in zip(order, kinds):  # nulls first, as in a struct
+        out = out * F.lit(Decimal(10 ** digits[k])) + F.coalesce(F.col(c).cast("decimal(20,0)") + F.lit(Decimal(least[k] + 1)), F.lit(Decimal(0)))
+        out = out.cast("decimal(38,0)")
+    return out
+
+
 def signature() -> Column:
     """Of rows of ``run``: the failure, or what governed at every depth, in one order."""
     said = F.transform("governing", lambda g: F.concat_ws("=", g["variable"], g["branch"]))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -139,7 +140,21 @@ def _label(scope: Scope, variable: str, label: str) -> Column:
 def apply(scope: Scope, facts: DataFrame, trace: bool = False, given_err: Column | None = None) -> DataFrame:
     """The facts with a column for each variable, err and, if asked for, governing. No shuffle, no Python.
     ``given_err``: a failure of what was called for these facts, after that of their own assertions."""
-    err, traced, out = F.lit(None).cast("string"), [], facts
+    out = decided(scope, facts, given_err)
+    if trace:
+        out = out.withColumn("governing", governing(scope, lambda v: F.col(f"_{v}.branch")))
+    return out.drop(*(f"_{v}" for v in scope.order))
+
+
+def governing(scope: Scope, branch: Callable[[str], Column]) -> Column:
+    """The decisions, in order, of the branches of the variables."""
+    traced = (F.struct(F.lit(v).alias("variable"), branch(v).alias("branch")) for v in scope.order)
+    return F.filter(F.array(*traced), lambda t: t["branch"].isNotNull())
+
+
+def decided(scope: Scope, facts: DataFrame, given_err: Column | None = None) -> DataFrame:
+    """The facts with each variable, err and, as ``_variable``, a struct with the branch that gave it."""
+    err, out = F.lit(None).cast("string"), facts
     for n, test in enumerate(scope.assertions):
         names = set(re.findall(r"[A-Za-z_]\w*", test))
         if not names & {*scope.order}:  # on inputs only: before all else
@@ -155,13 +170,10 @@ def apply(scope: Scope, facts: DataFrame, trace: bool = False, given_err: Column
         out = out.withColumn(f"_{v}", result)
         missing = F.lit(None) if v in scope.optional else F.when(F.col(f"_{v}").isNull() & F.expr(scope.needed.get(v, "true")), F.lit(SILENT))
         out = out.withColumns({v: F.col(f"_{v}.value"), "err": F.coalesce("err", F.col(f"_{v}.err"), missing)})
-        traced.append(F.struct(F.lit(v).alias("variable"), F.col(f"_{v}.branch").alias("branch")))
     for test in scope.assertions:
         if set(re.findall(r"[A-Za-z_]\w*", test)) & {*scope.order}:
             out = out.withColumn("err", F.coalesce("err", F.when(~F.coalesce(F.expr(test), F.lit(False)), F.lit(REFUSED))))
-    if trace:
-        out = out.withColumn("governing", F.filter(F.array(*traced), lambda t: t["branch"].isNotNull()))
-    return out.drop(*(f"_{v}" for v in scope.order))
+    return out
 
 
 def signature(scope: Scope) -> Column:

@@ -84,3 +84,17 @@ def test_names_in_expressions():
     names = {"x": "(a + 1)", "call.y": "call__y"}
     assert compose.rewritten("x + size(x) + 'x is x' + call.y + other.x + x.field", names) == "(a + 1) + size((a + 1)) + 'x is x' + call__y + other.x + (a + 1).field"
     assert compose.rewritten("x(1) + xx + \"x\"", names) == "x(1) + xx + \"x\""
+
+
+def test_elements_are_hashed(spark):
+    """Ways of deciding are counted without a sort, whole numbers of any sign keep their order, and nulls come first."""
+    rows = spark.createDataFrame([(1, None, 1), (1, -(1 << 63), 5), (1, -1, -3), (1, -1, 2), (1, 0, None), (1, 0, -(1 << 31)), (1, (1 << 63) - 1, (1 << 31) - 1), (1, 7, 0)], "k int, a bigint, b int")
+    ordered = [tuple(r) for r in rows.orderBy(compose._in_one(rows, ["a", "b"])).select("a", "b").collect()]
+    assert ordered == [tuple(r) for r in rows.orderBy(F.struct("a", "b")).select("a", "b").collect()]
+    assert compose._in_one(rows.withColumn("b", F.col("a")), ["a", "b"])._jc.toString() == F.struct("a", "b")._jc.toString()
+    scope = Scope("sign", {"low": "boolean"}, (D("low", "false", label="no"), D("low", "true", "b < 0", "yes", "no")), ("b <> 5",))
+    out = compose.call_each("each", scope, rows.where("b is not null"), ["k"], ["a", "b"], {"n": F.count("*")})
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan
+    row = out.first()
+    assert row["each__err"] == "AssertionFailed" and row["n"] is None and [g["branch"] for g in row["each__governing"]] == ["no", "yes"]
