@@ -54,15 +54,17 @@ def defined(text: Column) -> Column:
 
 def sharing(incoming: DataFrame, existing: DataFrame, least: int = 2, block: int = BLOCK) -> DataFrame:
     """ref, existing_ref and shared (rarest first) of all pairs that share ``least`` terms or more, each once."""
-    own = incoming.select("ref", F.lit(True).alias("new"), terms(F.coalesce("text", F.lit(""))).alias("ts"))
-    old = existing.select("ref", F.lit(False).alias("new"), terms(F.coalesce("text", F.lit(""))).alias("ts"))
-    both = own.union(old).where(F.size("ts") >= least).withColumn("key", F.monotonically_increasing_id())
-    listed = both.select("new", F.explode("ts").alias("t"))
-    counts = listed.groupBy("t").agg(F.count(F.when(F.col("new"), 1)).alias("n_new"), F.count(F.when(~F.col("new"), 1)).alias("n_old"))
+    # Terms are read by patterns once: in one expression with the test of their number, which no filter repeats, and in one
+    # shuffle by term, of the same columns for the counts and for the clauses.
+    enough = F.explode(F.flatten(F.filter(F.array(terms(F.coalesce("text", F.lit("")))), lambda ts: F.size(ts) >= least)))
+    listed = incoming.select("ref", F.lit(True).alias("new"), enough.alias("t")).union(existing.select("ref", F.lit(False).alias("new"), enough.alias("t")))
+    listed = listed.repartition("t")
+    of = lambda side: F.count(F.when(side, F.struct("ref")))
+    counts = listed.groupBy("t").agg(of(F.col("new")).alias("n_new"), of(~F.col("new")).alias("n_old"))
     counts = counts.where("n_new > 0 and n_old > 0")  # others join nothing
     one = F.struct((F.col("n_new") + F.col("n_old")).alias("n"), "t")
     slots = lambda n: F.ceil(F.col(n) / block).cast("int")
-    met = both.select("ref", "new", F.explode("ts").alias("t")).join(counts, "t")
+    met = listed.join(counts, "t")
     ranked = met.groupBy("ref", "new").agg(F.array_sort(F.collect_set(F.struct(one.alias("rank"), slots("n_new").alias("s_new"), slots("n_old").alias("s_old")))).alias("rs")).where(F.size("rs") >= least)
     row = F.col("rs")
     looked_up = ranked.select("ref", "new", F.transform(row, lambda r: r["rank"]["t"]).alias("ts"), F.explode(F.slice(row, 1, F.size(row) - (least - 1))).alias("r"))
@@ -79,10 +81,13 @@ def numeric_divergence(incoming: DataFrame, existing: DataFrame, block: int = BL
     """ref, existing_ref, differing (figures of the incoming clause that the other lacks, sorted) and shared: pairs on one
     subject that both state figures."""
     pairs = sharing(incoming, existing, 2, block)
-    a = incoming.select("ref", numbers(F.col("text")).alias("own"))
-    b = existing.select(F.col("ref").alias("existing_ref"), numbers(F.col("text")).alias("theirs"))
-    out = pairs.join(a, "ref").join(b, "existing_ref").withColumn("differing", F.array_sort(F.array_except("own", "theirs")))
-    return out.where((F.size("theirs") > 0) & (F.size("differing") > 0)).select("ref", "existing_ref", "differing", "shared")
+    # Figures are read of the texts that some pair is about, in one expression, which no filter repeats.
+    a = incoming.select("ref", F.col("text").alias("own"))
+    b = existing.select(F.col("ref").alias("existing_ref"), F.col("text").alias("theirs"))
+    figures = F.array(F.struct(numbers(F.col("own")).alias("own"), numbers(F.col("theirs")).alias("theirs")))
+    apart = F.transform(figures, lambda f: F.when(F.size(f["theirs"]) > 0, F.array_sort(F.array_except(f["own"], f["theirs"]))))
+    out = pairs.join(a, "ref").join(b, "existing_ref").select("ref", "existing_ref", F.explode(F.filter(apart, lambda d: F.size(d) > 0)).alias("differing"), "shared")
+    return out
 
 
 def term_redefinition(incoming: DataFrame, existing: DataFrame) -> DataFrame:

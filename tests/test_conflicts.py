@@ -67,3 +67,11 @@ def test_incompatible_dimensions(spark):
     rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(pairs)], "k int, a string, b string")
     got = rows.select("k", conflicts.dimensions_differ(conflicts.fingerprint(F.col("a")), conflicts.fingerprint(F.col("b"))).alias("d")).orderBy("k").collect()
     assert [r["d"] for r in got] == [d for *_, d in pairs]
+
+
+def test_texts_are_read_once(spark):
+    """No filter repeats the patterns that a projection reads terms and figures by."""
+    rows = spark.createDataFrame([("a", 'On "Part One" of "Maker Two" at $5'), ("b", None)], "ref string, text string")
+    lines = conflicts.numeric_divergence(rows, rows)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert not any("Filter" in x and "regexp_extract_all" in x for x in lines)
+    assert max(x.count('\\s+[A-Z][a-z]+){0,3}') for x in lines) == 1
