@@ -74,6 +74,8 @@ def marked(paragraphs: DataFrame) -> DataFrame:
         token = (F.when if token is None else token.when)(is_it, F.regexp_extract("first", pattern, 1))
         rest = (F.when if rest is None else rest.when)(is_it, left)
     rows = rows.withColumns({"token": token.otherwise(F.lit("")), "rest": rest.otherwise(F.col("first"))})
+    # All windows go by document. Dealt out here, once, what follows is code of its own: all in one is too long to compile well.
+    rows = rows.repartition("doc_id")
     text = F.trim("text")
     capitals = ~text.contains("\n") & text.rlike("^[^a-z]{2,60}$") & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 2) & ~text.rlike("[.;,]$")
     words = F.size(F.split("flat", " "))
