@@ -7,6 +7,9 @@ clauses that share two terms share one that isn't the most common of either. So
 but its most common one, and a pair counts at the rarest term it shares only. A term that many clauses hold is dealt by
 blocks of both sides, sized by counts that are checked for each term, so that no task gets all of one. The result is
 exact.
+
+Before figures are compared, clauses that share two terms with none of the other side are left out (``meeting``): of a
+clause only hashes of its terms, two by two, are shuffled, not its text.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ NO_SUBJECT = frozenset(
 )
 #: Clauses of a term that one block holds.
 BLOCK = 4096
+#: Terms up to which a clause is listed by every two of them, and words of 64 bits that hashes of such pairs are kept in.
+PAIRED, WORDS = 16, 1 << 20
 
 
 def terms(text: Column) -> Column:
@@ -52,6 +57,33 @@ def defined(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DEFINES), F.lit(1)), F.lower))
 
 
+def meeting(incoming: DataFrame, existing: DataFrame, paired: int = PAIRED, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """The clauses of both sides, equal ones once, that share two terms with one of the other side, and few that don't.
+
+    Hashes of every two terms are counted by side, and those on both sides set three bits each in one of ``words`` words,
+    which are broadcast: bounded, whatever the tables' size. A clause stays if the bits of some pair of its terms are set.
+    A clause of more than ``paired`` terms isn't listed by pairs: it stays, and so does any that shares a term with it."""
+    ones = lambda ts: F.transform(ts, lambda a: F.xxhash64(a))
+    twos = lambda ts: F.flatten(F.transform(ts, lambda a, i: F.transform(F.slice(ts, i + 2, F.size(ts)), lambda b: F.xxhash64(a, b))))
+    # As in sharing, terms are read once, in one expression.
+    each = lambda of: F.explode(F.flatten(F.transform(F.array(F.array_sort(terms(F.coalesce("text", F.lit(""))))), of)))
+    few = lambda ts: F.size(ts) <= paired
+    marked = lambda keys, sides: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(sides).alias("sides")))
+    said = lambda rows, side: rows.select(each(lambda ts: F.when(few(ts), marked(twos(ts), side)).otherwise(marked(ones(ts), 3))).alias("k")).select("k.*")
+    both = said(incoming, 1).union(said(existing, 2)).groupBy("key").agg(F.bit_or("sides").alias("sides")).where("sides = 3")
+
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright("key", at).bitwiseAND(63).cast("int"))
+    mask = bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+    word = F.pmod(F.shiftright("key", 18), F.lit(words)).alias("word")
+    bits = F.broadcast(both.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits")))
+
+    def staying(rows: DataFrame) -> DataFrame:
+        asked = rows.select("ref", "text", each(lambda ts: F.when(few(ts), F.concat(ones(ts), twos(ts))).otherwise(ones(ts))).alias("key"))
+        return asked.select("ref", "text", word, mask.alias("mask")).join(bits, "word").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("ref", "text").distinct()
+
+    return staying(incoming), staying(existing)
+
+
 def sharing(incoming: DataFrame, existing: DataFrame, least: int = 2, block: int = BLOCK) -> DataFrame:
     """ref, existing_ref and shared (rarest first) of all pairs that share ``least`` terms or more, each once."""
     # Terms are read by patterns once: in one expression with the test of their number, which no filter repeats, and in one
@@ -80,6 +112,7 @@ def sharing(incoming: DataFrame, existing: DataFrame, least: int = 2, block: int
 def numeric_divergence(incoming: DataFrame, existing: DataFrame, block: int = BLOCK) -> DataFrame:
     """ref, existing_ref, differing (figures of the incoming clause that the other lacks, sorted) and shared: pairs on one
     subject that both state figures."""
+    incoming, existing = meeting(incoming, existing)
     pairs = sharing(incoming, existing, 2, block)
     # Figures are read of the texts that some pair is about, in one expression, which no filter repeats.
     a = incoming.select("ref", F.col("text").alias("own"))

@@ -56,7 +56,7 @@ a as (select distinct ref, part, supplier, n from c where incoming), b as (selec
 def numeric_divergences(spark, sf_dir):
     """Incoming clauses whose figures differ from those of clauses on the same part and maker."""
     rows = supply_clauses(spark, sf_dir)
-    out = conflicts.numeric_divergence(rows.where("open").select("ref", "text").distinct(), rows.where("not open").select("ref", "text").distinct())
+    out = conflicts.numeric_divergence(rows.where("open").select("ref", "text"), rows.where("not open").select("ref", "text"))
     return out.select("ref", "existing_ref", F.array_join("differing", ",").alias("differing"))
 
 

@@ -75,3 +75,45 @@ def test_texts_are_read_once(spark):
     lines = conflicts.numeric_divergence(rows, rows)._jdf.queryExecution().sparkPlan().toString().split("\n")
     assert not any("Filter" in x and "regexp_extract_all" in x for x in lines)
     assert max(x.count('\\s+[A-Z][a-z]+){0,3}') for x in lines) == 1
+
+
+@pytest.mark.parametrize("paired", [0, 2, 16])
+def test_clauses_that_meet_none_are_left_out(spark, paired):
+    """All clauses that share two terms stay, whatever the bounds; with room for pairs, no others do."""
+    a, b = some_clauses(3, "a", 40) + [("a0", '"Only Here" and "Rare Thing"'), ("a1", '"Fee"')], some_clauses(4, "b", 12)
+    new, old = spark.createDataFrame(a + a[:3], TEXT), spark.createDataFrame(b, TEXT)
+    both = {(x, y) for x in a for y in b if len(plain_terms(x[1] or "") & plain_terms(y[1] or "")) >= 2}
+    for words in (1, conflicts.WORDS):
+        stay = [[tuple(r) for r in side.collect()] for side in conflicts.meeting(new, old, paired, words)]
+        assert all(len(rows) == len(set(rows)) for rows in stay)
+        assert set(stay[0]) >= {x for x, _ in both} and set(stay[1]) >= {y for _, y in both}
+        if paired == 16 and words > 1:
+            assert set(stay[0]) == {x for x, _ in both} and set(stay[1]) == {y for _, y in both}
+
+
+def shuffled(plan):
+    """Bytes that the shuffles of a plan that has run wrote, each once."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    if plan.nodeName() == "ReusedExchange":
+        return 0
+    own = plan.metrics().apply("shuffleBytesWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_texts_that_meet_none_are_not_shuffled(spark):
+    """Of clauses on one maker but on no common part, a few bytes each are written, not their references and texts."""
+    n, threshold = 4000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    said = F.concat(F.lit('"Part '), "id", F.lit('" of "Maker '), F.col("id") % 7, F.lit('" at $'), "id", F.lit(" by "), F.sha2(F.col("id").cast("string"), 512))
+    rows = spark.range(n).select(F.concat(F.lit("c"), "id").alias("ref"), said.alias("text"))
+    new, old = rows.where("ref < 'c25'"), rows.where("ref >= 'c25'")
+    old = old.union(spark.createDataFrame([("x", '"Part 2" of "Maker 2" at $3')], TEXT))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = conflicts.numeric_divergence(new, old)
+        assert [(r["ref"], r["existing_ref"], r["differing"]) for r in out.collect()] == [("c2", "x", ["2"])]
+        assert 0 < shuffled(out._jdf.queryExecution().executedPlan()) < 40 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
